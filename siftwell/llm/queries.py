@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substrings
+from . import simhash, substrings
 
 QUERIES = {
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op8_simhash_dedup": simhash.op8_simhash_dedup,
 }
 
 ORACLE_SQL = {

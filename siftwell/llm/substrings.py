@@ -27,7 +27,7 @@ from .wordhash import grams, hashes, mix, pack, pack_sorted, sliding, spans, unp
 WINDOW = 13
 SEED = 5
 #: Bytes of text in a block, and behind a range of hashes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 _KEEP = 48  # bits of an anchor's hash; a chance collision only costs an extension
 _NO_ID = np.iinfo(np.int64).max
 
@@ -134,7 +134,7 @@ def _earlier_windows(table: pa.Table) -> pa.Table:
     order, sizes, own, first, counts = _gathered(table, lambda x, n: unpack(x, np.int64))
     least = np.minimum.reduceat(own[order], first)
     mark = np.empty(len(order), bool)
-    mark[order] = np.repeat(least, counts)  < own[order]
+    mark[order] = np.repeat(least, counts) < own[order]
     return _replies(table, 2, sizes, mark)
 
 
@@ -200,7 +200,7 @@ def _cleaned(window: int, seed: int, ranges: int, out: pa.Schema):
         keep = np.cumsum(step[:-1], dtype=np.int8) > 0
         text = b.data.copy()
         text[np.minimum(b.ends, len(text) - 1)[b.ends < b.bounds[1:][b.doc]]] = 0x20
-        upto = np.r_[0, np.cumsum(keep)][b.bounds]
+        upto = np.r_[0, np.cumsum([np.count_nonzero(keep[i:j]) for i, j in zip(b.bounds[:-1], b.bounds[1:], strict=True)])]
         text = text[keep].tobytes()
         texts = [text[i:j].rstrip(b" ").decode() for i, j in zip(upto[:-1], upto[1:], strict=True)]
         counts = np.bincount(b.doc, minlength=n), np.bincount(b.doc[gone], minlength=n)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash, substrings
+from . import simhash, substrings, tokens
 
 QUERIES = {
     "op4_substring_dedup": substrings.op4_substring_dedup,
+    "op6_token_counts": tokens.op6_token_counts,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
 }
 

@@ -24,12 +24,23 @@ LIMIT = 512
 #: Pieces that a worker remembers besides the vocabulary, about 100 bytes each.
 REMEMBERED = 800_000
 
-_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0 ᠎ -‏    -⁯　﻿]")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u206f\u3000\ufeff]")
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _SPACED = re.compile(rf" ?[{_LETTERS}]+(?=[ \n\t\r,.;:!?]|\Z)|[,.;:!?]+(?=[ \n\t\r]|\Z)| ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
+_ONE = re.compile(rf" ?[{_LETTERS}]+|[,.;:!?]+")  # one pre-token, which the model's merges take as it is
 _BARE = re.compile(rf"[{_LETTERS}]+(?=[ \n\t\r,.;:!?]|\Z)|[,.;:!?]+(?=[ \n\t\r]|\Z)|[^ \n\t\r]+")
 
 
+def _alphabet() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
+_BYTES = str.maketrans(dict(enumerate(_alphabet())))
+
+
 class _Places(dict):
     """A piece's place in the table of ids; a new piece gets the next place and waits for the library."""
 
@@ -57,11 +68,12 @@ class Encoder:
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         self.cut = {"ByteLevel": _SPACED, "Sequence": _BARE}.get(kind)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        known = kind == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and not spec.get("normalizer") or kind == "Sequence" and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"]
+        known = kind == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and not spec.get("normalizer") or kind == "Sequence" and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         if not known or spec["model"]["type"] != "BPE" or spec.get("post_processor"):
             self.cut = None
         special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.lower = kind == "Sequence"
         self.remembered = remembered
         self.places = _Places()
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
@@ -82,7 +94,7 @@ class Encoder:
     def _learn(self) -> None:
         new = self.places.new
         for i in range(0, len(new), 50_000):
-            ids = [e.ids for e in self.library.encode_batch(new[i : i + 50_000], add_special_tokens=False)]
+            ids = self._merged(new[i : i + 50_000])
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             total = int(sizes.sum())
             while self.used + total > len(self.flat):
@@ -96,6 +108,21 @@ class Encoder:
             self.used, self.filled = self.used + total, self.filled + len(ids)
         new.clear()
 
+    def _merged(self, pieces: list[str]) -> list[list[int]]:
+        """The library's ids of each piece: by its model's merges alone for one pre-token, else by all its steps."""
+        out: list = []
+        merge, mixed = self.library.model.tokenize, []
+        for i, p in enumerate(pieces):
+            if _ONE.fullmatch(p):
+                p = p.lower() if self.lower else p
+                out.append([t.id for t in merge(p.encode().decode("latin-1").translate(_BYTES))])
+            else:
+                out.append(None)
+                mixed.append(i)
+        for i, e in zip(mixed, self.library.encode_batch([pieces[i] for i in mixed], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def _forget(self) -> None:
         if len(self.places) > self.remembered + self.single:
             keep = self.single + self.remembered // 4

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash, substrings, tokens
+from . import packing, simhash, substrings, tokens, wavelet
 
 QUERIES = {
+    "op2_token_shards": wavelet.op2_token_shards,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, substrings, tokens, wavelet
+from . import packing, pages, simhash, substrings, tokens, wavelet
 
 QUERIES = {
     "op2_token_shards": wavelet.op2_token_shards,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_html_text": pages.op7_html_text,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
     "op10_packing": packing.op10_packing,
 }

@@ -125,7 +125,7 @@ def _merged(hits: list) -> list[int]:
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: the input's columns, n_words, spans (start and end of hit words), n_hit, items.
+    """One row per document: the input's columns, n_words, spans (start and end of hit words, in turn), n_hit, items.
 
     ``items`` (array of string, distinct, in order) are the ids of items with occurring windows. Input columns of the
     four names are replaced. A null text has no words and is clean; an item of a null or wordless text has no
@@ -135,8 +135,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     names = ["n_words", "spans", "n_hit", "items"]
     keep = [c for c in docs.columns if c not in names]
-    out = docs.select(*keep, F.lit(None).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    out = docs.select(*keep, F.lit(None).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType())), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
     first = True
     for block in _or_none(_blocks(items, item_col, item_text, block_bytes)):
         wanted = frozenset(s for _, t in block for w in item_windows(t, window) for s in shingles(w))
@@ -146,9 +146,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         index = spark.sparkContext.broadcast(Index(block, window, frequency))
         out = (out if first else written(out, "judged")).mapInArrow(_judge(index, out.columns.index(text_col), len(keep)), schema)
         first = False
-    spans = F.col("spans")
-    length = F.aggregate(F.sequence(F.lit(0), F.size(spans) / 2 - 1), F.lit(0).cast("long"), lambda a, i: a + F.get(spans, (i * 2 + 1).cast("int")) - F.get(spans, (i * 2).cast("int")))
-    return out.select(*keep, "n_words", "spans", F.when(F.size(spans) > 0, length).otherwise(F.lit(0).cast("long")).alias("n_hit"), "items")
+    return out
 
 
 def _or_none(blocks):
@@ -166,14 +164,15 @@ def _judge(index, text: int, n: int):
         ix = index.value
         for b in batches:
             counts, spans, found = [], [], []
-            before = zip(b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist(), strict=True)
+            before = zip(b.column(n + 1).to_pylist(), b.column(n + 3).to_pylist(), strict=True)
             for t, (old, had) in zip(b.column(text), before, strict=True):
                 w = words(t.as_py())
                 hits, items = ix.find(w)
                 counts.append(len(w))
                 spans.append(_merged([*hits, *zip(old[::2], old[1::2], strict=True)]) if hits or old else [])
                 found.append(sorted({*had, *(str(i) for i in items if i is not None)}))
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], b.schema.names[: n + 3])
+            hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.string()))], b.schema.names)
 
     return f
 

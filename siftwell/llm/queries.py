@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, pages, simhash, substrings, tokens, wavelet
+from . import decontaminate, packing, pages, simhash, substrings, tokens, wavelet
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_token_shards": wavelet.op2_token_shards,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_token_counts": tokens.op6_token_counts,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
 }

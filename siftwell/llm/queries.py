@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pages, simhash, substrings, tokens, wavelet
+from . import chats, decontaminate, packing, pages, simhash, substrings, tokens, wavelet
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_token_shards": wavelet.op2_token_shards,
+    "op3_chat_examples": chats.op3_chat_examples,
     "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_token_counts": tokens.op6_token_counts,
     "op7_html_text": pages.op7_html_text,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
+    "op3_chat_examples": chats.OP3_SQL,
     "op4_substring_dedup": substrings.OP4_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chats, decontaminate, packing, pages, simhash, substrings, tokens, wavelet
+from . import chats, decontaminate, language, packing, pages, simhash, substrings, tokens, wavelet
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_token_counts": tokens.op6_token_counts,
     "op7_html_text": pages.op7_html_text,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
+    "op9_language_id": language.op9_language_id,
     "op10_packing": packing.op10_packing,
 }
 

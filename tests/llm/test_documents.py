@@ -1,0 +1,323 @@
+"""Operators on documents: against brute force, and on null, empty, long, repeated and clashing rows."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import public_tokenizers
+import xxhash
+from tokenizers import Tokenizer
+
+from siftwell.llm import decontaminate, language, packing, simhash, substrings, tokens, wavelet
+from siftwell.llm.components import components
+from siftwell.llm.wordhash import grams, hashes, sliding, spans
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+ODD = [None, "", " \n\t", "one", "x" * 50_000, "a " * 3000, "é ü\x00\xa0ß", "<|endoftext|> a", "　"]
+
+
+def docs(spark, texts, ids=None, **more):
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, *(v[k] for v in more.values())) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, "doc_id long, text string" + "".join(f", {c} string" for c in more))
+
+
+def sentences(n, seed, words=40, vocabulary=30):
+    r = random.Random(seed)
+    v = [f"w{i}" for i in range(vocabulary)]
+    return [" ".join(r.choice(v) for _ in range(r.randint(0, words))) for _ in range(n)]
+
+
+# word hashes
+
+
+def test_words_and_windows_of_arrays():
+    texts = ["a b  c", "", "b\tc", " a", "é\x00 a"]
+    raw = [t.encode() for t in texts]
+    bounds = np.r_[0, np.cumsum([len(x) for x in raw])]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    s, e, d = spans(data, bounds)
+    got = [(int(k), data[i:j].tobytes().decode()) for i, j, k in zip(s, e, d, strict=True)]
+    assert got == [(k, w) for k, t in enumerate(texts) for w in SPACE.findall(t)]
+    h = hashes(data, s, e)
+    same = {}
+    for (_, w), x in zip(got, h.tolist(), strict=True):
+        assert same.setdefault(w, x) == x
+    assert len(set(same.values())) == len(same)
+    assert grams(h, 2)[1] == grams(h[1:], 2)[0]
+    x = np.random.default_rng(1).integers(0, 99, 50)
+    for w in range(1, 12):
+        assert sliding(np.minimum, x, w).tolist() == [x[i : i + w].min() for i in range(51 - w)]
+
+
+# substrings
+
+
+def brute_substrings(rows, n=13):
+    words = [(i, SPACE.findall(t or "")) for i, t in rows]
+    first = {}
+    for i, w in words:
+        for k in range(len(w) - n + 1):
+            key = tuple(w[k : k + n])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, w in words:
+        gone = {p for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < i for p in range(k, k + n)}
+        out.append((i, " ".join(x for p, x in enumerate(w) if p not in gone), len(w), len(gone)))
+    return sorted(out, key=repr)
+
+
+def test_substring_dedup_is_brute_force(spark):
+    base = sentences(60, 3, 80)
+    r = random.Random(4)
+    texts = [*base, *ODD]
+    for _ in range(80):
+        a, b = r.choice(base).split(), r.choice(base).split()
+        i, j = sorted((r.randint(0, len(a)), r.randint(0, len(a))))
+        texts.append("  ".join([*b[: r.randint(0, 9)], *a[i:j], *b[9:]]))
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    ids[:4] = ids[4:8]  # several texts of one id
+    df = docs(spark, texts, ids, _block=texts, n_words=texts, kept=texts)
+    for block in (1 << 20, 2000):
+        got = substrings.remove_repeats(df, block_bytes=block)
+        assert "_block" in got.columns
+        assert sorted(((x.doc_id, x.kept, x.n_words, x.n_removed) for x in got.collect()), key=repr) == brute_substrings(list(zip(ids, texts, strict=True)))
+
+
+def test_substring_dedup_of_repeated_rows_and_null_ids(spark):
+    long = " ".join(f"v{i}" for i in range(20))
+    got = substrings.remove_repeats(docs(spark, [long, long, long, long], [5, 5, None, None]))
+    assert sorted((str(x.doc_id), x.n_removed) for x in got.collect()) == [("5", 0), ("5", 0), ("None", 20), ("None", 20)]
+    assert substrings.remove_repeats(docs(spark, [])).count() == 0
+
+
+# SimHash
+
+
+def brute_fingerprint(text):
+    w = SPACE.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    s = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def roots(n, links):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return [find(x) for x in range(n)]
+
+
+def test_fingerprints():
+    for t in [*ODD, *sentences(40, 5), "Ä B c D E", "A b C d"]:
+        assert simhash.fingerprint(t) == brute_fingerprint(t)
+
+
+@pytest.mark.parametrize("task", [4_000_000, 3000])
+def test_near_fingerprints_are_linked(spark, task):
+    r = random.Random(6)
+    fps = [r.getrandbits(64) for _ in range(40)]
+    for _ in range(80):  # chains, and a crowd around one point
+        f = fps[-1] if r.random() < 0.5 else fps[0]
+        for _ in range(r.randint(1, 5)):
+            f ^= 1 << r.randrange(64)
+        fps.append(f)
+    fps = list(dict.fromkeys(fps))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    found = components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), task_variants=task)).collect()
+    got = {x.node: x.root for x in found}
+    expected = roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    group = lambda of: sorted(sorted(k for k in range(len(fps)) if of(k) == x) for x in {of(k) for k in range(len(fps))})
+    assert group(lambda k: got.get(signed[k], signed[k])) == group(lambda k: expected[k])
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    texts = [*ODD, *ODD, "a b c d e f"]
+    ids = [*range(100, 100 + len(ODD)), *range(len(ODD)), None]
+    got = simhash.near_duplicates(docs(spark, texts, ids, fp=[t or "" for t in texts])).collect()
+    assert len(got) == len(texts)
+    by = {x.doc_id: x for x in got}
+    assert by[None].component_id is None
+    assert all(by[100 + k].component_id == by[k].component_id <= k for k in range(len(ODD)))
+    assert by[0].fp == by[1].fp == by[2].fp == 0
+    assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(200, 200)]
+    got = {x.node: x.root for x in components(spark.createDataFrame([*links, (None, 3)], "a long, b long")).collect()}
+    expected = roots(201, links)
+    assert all(got.get(i, i) == expected[i] for i in range(201))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# decontamination
+
+
+def test_windows_of_short_and_odd_items(spark):
+    items = spark.createDataFrame([(1, "Alpha"), (2, "beta gamma!"), (3, None), (4, ""), (5, "..."), (None, "omega psi"), (7, " ".join("abcdefghijklm")), (8, "a a a a a a a a a a")], "item_id long, text string")
+    texts = ["xx ALPHA yy beta. Gamma", None, "", "omega; psi", "z a b c d e f g h i j z", "a " * 15, "b c d e f g h i j k l m", "beta"]
+    df = docs(spark, texts, n_hit=["x"] * len(texts), items=["y"] * len(texts))
+    for block in (1 << 20, 10):
+        got = sorted(decontaminate.contamination(df, items, block_bytes=block).collect(), key=lambda x: x.doc_id)
+        assert [(x.n_words, x.n_hit, x["items"]) for x in got] == [(5, 3, ["1", "2"]), (0, 0, []), (0, 0, []), (2, 2, []), (12, 10, ["7"]), (15, 15, ["8"]), (12, 12, ["7"]), (1, 0, [])]
+    clean = decontaminate.contamination(df, items.limit(0)).collect()
+    assert [x.n_words for x in sorted(clean, key=lambda x: x.doc_id)] == [5, 0, 0, 2, 12, 15, 12, 1] and not any(x.n_hit for x in clean)
+    assert decontaminate.contamination(docs(spark, []), items).count() == 0
+
+
+# tokens
+
+JSONS = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+@pytest.mark.parametrize("name", JSONS)
+def test_ids_are_the_library_s(name):
+    path = public_tokenizers.path(name)
+    enc, library = tokens.Encoder(path, remembered=2000), Tokenizer.from_file(path)
+    r = random.Random(9)
+    alphabet = [*"aZé ß  \n\t,.'s1½²ﬁİ́Ω漢😀_-’\x1c\x85\rŉ\xa0", "<|endoftext|>", "'ll", "\n\n", "’s", "İ,", "the", " of"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    texts += [f"a{chr(c)}b {chr(c)}, x{chr(c)}" for c in range(1, 0x3100, 3)] + [t for t in ODD if t] + sentences(50, 1)
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        expected = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [x.tolist() for x in enc.encode(part)] == expected
+        assert enc.count(part).tolist() == [len(x) for x in expected]
+    assert enc.encode([None, ""])[0].tolist() == []
+
+
+def test_counts_by_either_library(spark):
+    import sentencepiece
+
+    df = docs(spark, ODD, n_tokens=[str(i) for i in range(len(ODD))])
+    library = Tokenizer.from_file(public_tokenizers.path(JSONS[0]))
+    got = {x.doc_id: x for x in tokens.token_counts(df, public_tokenizers.path(JSONS[0])).collect()}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    other = {x.doc_id: x for x in tokens.token_counts(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    for i, t in enumerate(ODD):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512)
+        assert other[i].n_tokens == len(pieces.encode(t or ""))
+    assert tokens.token_counts(docs(spark, []), public_tokenizers.path(JSONS[0])).count() == 0
+
+
+# wavelet matrix
+
+
+@pytest.mark.parametrize(("n", "top"), [(0, 5), (1, 1), (1000, 7), (3000, 50_000), (2000, 70_000)])
+def test_wavelet_queries(n, top):
+    import io
+
+    x = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
+    s = wavelet.Shard(io.BytesIO(wavelet.build(x, np.array([4, 9]), np.array([0, n // 2, n]), 256)))
+    assert (s.tokens() == x).all() and (s.document(1) == x[n // 2 :]).all()
+    assert [s.access(i) for i in range(0, n, 37)] == x[::37].tolist()
+    for t in [*x[:20].tolist(), top + 1, 1 << 40]:
+        at = np.flatnonzero(x == t)
+        assert (s.rank(t), s.rank(t, n // 2)) == (len(at), int((at < n // 2).sum()))
+        assert [s.select(t, k) for k in range(min(5, len(at)))] == at[:5].tolist()
+        with pytest.raises(IndexError):
+            s.select(t, len(at))
+
+
+def test_shards_are_read_back(spark):
+    texts = [*ODD, *sentences(60, 2)]
+    ids = [*range(1000, 1000 + len(ODD)), *range(60)]
+    path = public_tokenizers.path(JSONS[1])
+    library = Tokenizer.from_file(path)
+    from siftwell.llm.shared import new_folder
+
+    folder = new_folder(spark, "t")
+    made = wavelet.write_shards(docs(spark, texts, ids, file=[str(i) for i in ids]), path, folder, shard_tokens=500)
+    assert made.count() > 4
+    got = {x.doc_id: (x.start, x.n_tokens, x.ids_crc32) for x in wavelet.read_shards(made, folder).collect()}
+    start = 0
+    for i, t in sorted(zip(ids, texts, strict=True)):
+        x = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (start, len(x), zlib.crc32(x))
+        start += len(x)
+    none = wavelet.write_shards(docs(spark, []), path, folder)
+    assert none.count() == wavelet.read_shards(none, folder).count() == 0
+
+
+# packing
+
+
+def test_packer_takes_the_least_sum_of_squares():
+    p = packing.Packer(10)
+    ids = lambda n: np.zeros(n, np.uint32)
+    assert p.put(0, ids(6)) == [] and p.put(1, ids(6)) == []
+    assert p._level(4) == 6  # fills one of the two at level 6
+    (closed,) = p.put(2, ids(4))
+    assert [(d, len(x)) for d, _, x, _ in closed] == [(1, 6), (2, 4)]
+    assert len(p.put(3, ids(25))) == 2 and p.count[5] == 1
+    rest = p.close()
+    assert [sum(len(x) for _, _, x, _ in w) for w in rest] == [10, 1] and not p.count.any()
+
+
+def test_packing_loses_no_id(spark):
+    texts = [*ODD, *sentences(100, 7), *ODD]
+    library = Tokenizer.from_file(public_tokenizers.path(JSONS[0]))
+    rows = packing.pack(docs(spark, texts, length=[str(i) for i in range(len(texts))]), public_tokenizers.path(JSONS[0]), window=64, with_ids=True).collect()
+    by_doc, by_seq = {}, {}
+    for x in rows:
+        by_doc.setdefault(x.doc_id, []).append(x)
+        by_seq.setdefault(x.sequence_id, []).append(x)
+    for i, t in enumerate(texts):
+        whole = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        pieces = sorted(by_doc[i], key=lambda x: x.start)
+        assert [y for x in pieces for y in x.ids] == whole and all(x.doc_tokens == len(whole) for x in pieces)
+        assert all(x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4")) for x in pieces)
+    for pieces in by_seq.values():
+        at = 0
+        for x in sorted(pieces, key=lambda x: x.offset):
+            assert x.offset == at
+            at += x.length
+        assert at <= 64
+    parts = {k >> 33 for k in by_seq}
+    assert sum(sum(x.length for x in p) < 64 for p in by_seq.values()) <= len(parts)
+    assert packing.pack(docs(spark, []), public_tokenizers.path(JSONS[0])).count() == 0
+
+
+# languages
+
+
+def test_languages_are_told(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(df)
+    got = language.predict(df.withColumnRenamed("source", "score"), model).toPandas()
+    out = got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    assert (got.lang == got.lang_pred)[out].mean() > 0.98 and got.score.between(0, 1).all()
+
+
+def test_odd_texts_have_no_language(spark):
+    train = docs(spark, ["the cat and the dog", "der hund und die katze", None, "12"] * 3, range(1, 13), lang=["en", "de", "de", None] * 3)
+    model = language.fit(train)
+    assert model.langs == ["de", "en"]
+    got = language.predict(docs(spark, [*ODD, "123 --"]), model).orderBy("doc_id").collect()
+    assert [x.lang_pred == "und" for x in got] == [not language.has_letters(t) for t in [*ODD, "123 --"]]
+    assert all(x.score == 0 for x in got if x.lang_pred == "und")
+    assert language.fit(train.filter("lang IS NULL")) is None
+    assert {x.lang_pred for x in language.predict(train, None).collect()} == {"und"}
+    assert language.predict(docs(spark, []), model).count() == 0
+
+
+def test_presence_of_long_texts_is_that_of_whole_texts(monkeypatch):
+    data = np.frombuffer("Über den Wolken, 123 muss die Freiheit".encode() * 9, np.uint8)
+    whole, parts = np.zeros(1 << language.BITS), np.zeros(1 << language.BITS)
+    language.presence(data, whole)
+    monkeypatch.setattr(language, "_CHUNK", 50)
+    language.presence(data, parts)
+    assert (parts >= whole).all() and parts.sum() - whole.sum() < 20

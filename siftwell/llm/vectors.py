@@ -144,12 +144,13 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """
     if not 0 < lead <= 2:
         raise ValueError("lead is 1 or 2")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").cast("array<double>").alias("embedding"))
+    kind = "float" if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vec_col].dataType.containsNull) else "double"
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").cast(f"array<{kind}>").alias("embedding"))
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", odd) & F.exists("embedding", lambda v: v != 0)
     rows = written(rows.withColumn("cid", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "embedding"))), "vectors")
     classes = written(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "classes")
-    schema = T.StructType([T.StructField("label", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("dim", "block")), *(T.StructField(c, T.LongType()) for c in ("x", "y")), T.StructField("guest", T.BooleanType()), T.StructField("cid", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    schema = T.StructType([T.StructField("label", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("dim", "block")), *(T.StructField(c, T.LongType()) for c in ("x", "y")), T.StructField("guest", T.BooleanType()), T.StructField("cid", T.LongType()), T.StructField("embedding", classes.schema["embedding"].dataType), T.StructField("n", T.LongType())])
     dealt = classes.select("cid", "label", "embedding", "n").mapInArrow(_dealt(cosine, blocks, lead), schema)
     sizes = dealt.filter("NOT guest").groupBy(_KEY).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > tile)
     large = written(sizes.select(*_KEY, F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "cells")

@@ -101,8 +101,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    least = rows.select("lang", "h", "doc_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
+    least = rows.select("lang", "h", "doc_id").withColumn("salt", F.pmod("doc_id", F.lit(16)))
+    for key in (["lang", "salt"], ["lang"]):  # a language may have most rows: first in 16 parts, then the best of those
+        order = Window.partitionBy(*key).orderBy("h", "doc_id")
+        least = least.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).drop("rank")
     keys = least.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
     langs = [r.lang for r in keys.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
     chosen = rows.join(F.broadcast(keys.filter(F.col("lang").isin(langs))), ["lang", "h"], "left_semi")  # at most LANGUAGES * sample keys

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import moved_prefix
+from ..functions.paths import moved_prefix, year_month
 
 
 def union_files(*tables: DataFrame) -> DataFrame:
@@ -18,6 +18,21 @@ def union_files(*tables: DataFrame) -> DataFrame:
     return out.dropDuplicates(["hash", "path", "size", "mtime"])
 
 
+def nested(files: DataFrame) -> DataFrame:
+    """(hash, files): a row for each hash with its (path, size, mtime), in order of path; for tables of small groups."""
+    return files.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("path", "size", "mtime"))).alias("files"))
+
+
+def flattened(by_hash: DataFrame) -> DataFrame:
+    """The reverse of ``nested``: one row per path."""
+    return by_hash.select("hash", F.explode("files").alias("f")).select("hash", "f.size", "f.mtime", "f.path")
+
+
+def info_rows(files: DataFrame) -> DataFrame:
+    """(hash, path, year_month, size) of each row."""
+    return files.select("hash", "path", year_month(F.col("mtime")).alias("year_month"), "size")
+
+
 def remove_paths(files: DataFrame, paths: DataFrame) -> DataFrame:
     return files.join(paths.select("path").distinct(), "path", "left_anti").select(*files.columns)
 

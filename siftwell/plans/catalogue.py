@@ -323,3 +323,13 @@ def _(files):
 @_query("extension_labels", f"SELECT DISTINCT {_EXT_SQL} AS ext FROM files")
 def _(files):
     return files.select(labelled_extension(F.col("path")).alias("ext")).distinct()
+
+
+@_query("info_rows", "SELECT hash, path, strftime(make_timestamp(CAST(mtime AS BIGINT) * 1000000), '%Y_%m') AS year_month, size FROM files")
+def _(files):
+    return records.info_rows(files)
+
+
+@_query("nested_manifest", "SELECT hash, size, mtime, path FROM files")
+def _(files):
+    return records.flattened(records.nested(_plain(files)))

@@ -134,7 +134,7 @@ def run_dedupe(
         files = settled(new.unionByName(old.select(*FILES.names)))
         read = known.read.unionByName(new.select("path")).distinct()
         collided = duplicates.collisions(new, old, dedupe_empty, ignore_old_collisions)
-    outcome = Outcome(files, collided, errors)
+    outcome = Outcome(files, collided, errors, counts=_scan_counts(files, errors))
     if csv_report_path:
         write_report(collided, csv_report_path, roots, hash_algo)
 
@@ -146,7 +146,7 @@ def run_dedupe(
         plan = selection.delete_plan(files, blocked, min_delete_size, dedupe_empty, extensions, ignore, roots)
         outcome.results = execute(plan, dry_run, partitions=copy_threads)
     if outcome.results is not None:
-        outcome.counts = counters(outcome.results)
+        outcome.counts |= counters(outcome.results)
         if not dry_run:
             done = outcome.results.filter("ok")
             moved = done.filter("action = 'move'").select("path", "dest")
@@ -159,6 +159,12 @@ def run_dedupe(
     return outcome
 
 
+def _scan_counts(files: DataFrame, errors: DataFrame | None) -> dict[str, int]:
+    """Rows known and files that could not be read, from tables that are settled."""
+    bad = errors.count() if errors is not None else 0
+    return {"files": files.count()} | ({"unread": bad} if bad else {})
+
+
 def _verify(spark: SparkSession, files: DataFrame) -> Outcome:
     """Whether each file of the manifest is there with its size; contents are not read."""
     live = _stat(files.select("path").distinct())

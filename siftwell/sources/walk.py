@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import time
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from ..functions.globs import glob_regex
 SCHEMA = "path string, size long, mtime double, error string"
 #: Directories that the driver expands at most while it looks for enough of them to deal out.
 _DEALT = 512
+#: Seconds after which a directory that isn't there is looked for again.
+WAIT = 1.0
 
 
 class _Tree(InputPartition):
@@ -54,8 +57,8 @@ def _listed(directory: str, ignore: re.Pattern | None) -> tuple[list[str], list[
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, roots: list[str], ignore: str | None) -> None:
-        self.roots, self.ignore = roots, ignore
+    def __init__(self, roots: list[str], ignore: str | None, wait: float) -> None:
+        self.roots, self.ignore, self.wait = roots, ignore, wait
 
     def partitions(self) -> list[InputPartition]:
         ignore = re.compile(self.ignore) if self.ignore else None
@@ -83,6 +86,8 @@ class _Reader(DataSourceReader):
             if os.path.isfile(d):
                 yield d, None, None, "NotADirectoryError: a file is given as a root"
                 continue
+            if not os.path.lexists(d):
+                time.sleep(self.wait)  # a share may come back
             below, rows, error = _listed(d, ignore)
             yield from rows
             if error:
@@ -100,7 +105,7 @@ class WalkSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(json.loads(self.options["roots"]), self.options.get("ignore"))
+        return _Reader(json.loads(self.options["roots"]), self.options.get("ignore"), float(self.options.get("wait", WAIT)))
 
 
 def walk(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str] | None = None, ignore: Sequence[str] = ()) -> DataFrame:

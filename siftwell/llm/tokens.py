@@ -9,9 +9,11 @@ of a special token, goes to the library as a whole.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,16 @@ from .shared import utf8
 LIMIT = 512
 #: Pieces that a worker remembers besides the vocabulary, about 100 bytes each.
 REMEMBERED = 800_000
+FREQUENT = 16_384
 
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f-\u206f\u3000\ufeff]")
-_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _SPACED = re.compile(rf" ?[{_LETTERS}]+(?=[ \n\t\r,.;:!?]|\Z)|[,.;:!?]+(?=[ \n\t\r]|\Z)| ?[^ \n\t\r]+|[ \n\t\r]+(?![^ \n\t\r])|[ \n\t\r]+")
-_ONE = re.compile(rf" ?[{_LETTERS}]+|[,.;:!?]+")  # one pre-token, which the model's merges take as it is
-_BARE = re.compile(rf"[{_LETTERS}]+(?=[ \n\t\r,.;:!?]|\Z)|[,.;:!?]+(?=[ \n\t\r]|\Z)|[^ \n\t\r]+")
+# Characters of which it is plain what they are; of a piece of them alone, the pre-tokens follow.
+_PLAIN = re.compile(rf" ?[!-~{_LETTERS}]+")
+_PRE_SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
+_PRE_BARE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+_BARE = re.compile(r"[^ \n\t\r]+")
 
 
 def _alphabet() -> list[str]:
@@ -53,6 +59,17 @@ class _Places(dict):
         return place
 
 
+class _Frequent(dict):
+    """The places of the most frequent pieces, in a table that stays in the processor's cache; the rest are in ``all``."""
+
+    def __init__(self, all_: _Places, known=()) -> None:
+        super().__init__(known)
+        self.all = all_
+
+    def __missing__(self, piece: str) -> int:
+        return self.all[piece]
+
+
 class Encoder:
     """Ids as the library's ``encode(text, add_special_tokens=False)`` gives them."""
 
@@ -67,6 +84,7 @@ class Encoder:
             spec = json.load(f)
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         self.cut = {"ByteLevel": _SPACED, "Sequence": _BARE}.get(kind)
+        self.divide = str.split if kind == "Sequence" else _SPACED.findall  # a plain text has no other white space
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         known = kind == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and not spec.get("normalizer") or kind == "Sequence" and [s["type"] for s in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         if not known or spec["model"]["type"] != "BPE" or spec.get("post_processor"):
@@ -76,6 +94,7 @@ class Encoder:
         self.lower = kind == "Sequence"
         self.remembered = remembered
         self.places = _Places()
+        self.frequent, self.seen = _Frequent(self.places), 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.offset, self.length, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
         self.single = self._proven() if self.cut else 0
@@ -101,7 +120,7 @@ class Encoder:
                 self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
             while self.filled + len(ids) > len(self.offset):
                 self.offset, self.length = (np.r_[x, np.zeros_like(x)] for x in (self.offset, self.length))
-            self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.int32, total)
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
             at = slice(self.filled, self.filled + len(ids))
             self.length[at] = sizes
             self.offset[at] = self.used + np.cumsum(sizes) - sizes
@@ -109,16 +128,17 @@ class Encoder:
         new.clear()
 
     def _merged(self, pieces: list[str]) -> list[list[int]]:
-        """The library's ids of each piece: by its model's merges alone for one pre-token, else by all its steps."""
-        out: list = []
-        merge, mixed = self.library.model.tokenize, []
-        for i, p in enumerate(pieces):
-            if _ONE.fullmatch(p):
-                p = p.lower() if self.lower else p
-                out.append([t.id for t in merge(p.encode().decode("latin-1").translate(_BYTES))])
-            else:
-                out.append(None)
-                mixed.append(i)
+        """The library's ids of each piece: by its model's merges alone where the pre-tokens are plain, else by all its steps."""
+        out: list = [None] * len(pieces)
+        merge, cut = self.library.model.tokenize, (_PRE_BARE if self.lower else _PRE_SPACED).findall
+        plain = [i for i, m in enumerate(map(_PLAIN.fullmatch, pieces)) if m]
+        whole = "\n".join([pieces[i] for i in plain])
+        whole = whole.lower() if self.lower else whole
+        pre = [cut(p) for p in whole.split("\n")] if plain else []
+        marked = iter("\n".join(chain.from_iterable(pre)).encode().decode("latin-1").translate(_BYTES).split(_BYTES[10]))
+        for i, p in zip(plain, pre, strict=True):
+            out[i] = [t.id for _ in p for t in merge(next(marked))]
+        mixed = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(mixed, self.library.encode_batch([pieces[i] for i in mixed], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
@@ -132,21 +152,43 @@ class Encoder:
                     break
                 dict.__setitem__(places, piece, place)
             self.places, self.filled = places, keep
+            self.frequent, self.seen = _Frequent(places), 0
             self.used = int(self.offset[keep - 1] + self.length[keep - 1])
 
     def _places_of(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list]:
         """Places of each text's pieces, or None and the whole text's ids from the library."""
         self._forget()
-        place, out, whole = self.places.__getitem__, [], []
+        out, whole = [], []
+        collects = gc.isenabled()
+        gc.disable()  # many short-lived lists and no cycles
+        try:
+            self._look_up(texts, out, whole)
+            self._learn()
+        finally:
+            if collects:
+                gc.enable()
+        if self.seen < 2:
+            self._count_frequent([p for p in out if p is not None])
+        return out, whole
+
+    def _look_up(self, texts: list[str | None], out: list, whole: list) -> None:
+        place = self.frequent.__getitem__
         for t in texts:
             if t and (self.cut is None or _ODD.search(t) or self.special and self.special.search(t)):
                 out.append(None)
                 whole.append(self.library.encode(t, add_special_tokens=False).ids)
             else:
-                out.append(np.fromiter(map(place, self.cut.findall(t)), np.int64) if t else np.zeros(0, np.int64))
+                out.append(np.fromiter(map(place, self.divide(t)), np.int64) if t else np.zeros(0, np.int64))
                 whole.append(None)
-        self._learn()
-        return out, whole
+
+    def _count_frequent(self, places: list[np.ndarray]) -> None:
+        """Twice for each worker: note which pieces of this group of texts are the most frequent."""
+        counts = np.bincount(np.concatenate(places), minlength=self.filled) if places else np.zeros(0, np.int64)
+        if counts.sum() < 100_000:
+            return
+        best = set(np.argpartition(-counts, min(FREQUENT, len(counts) - 1))[:FREQUENT].tolist())
+        self.frequent = _Frequent(self.places, {k: v for k, v in self.places.items() if v in best})
+        self.seen += 1
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         places, whole = self._places_of(texts)

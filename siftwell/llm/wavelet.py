@@ -1,9 +1,10 @@
 """Token ids in binary: one wavelet matrix per shard, in one compressed file.
 
-File, little-endian: ``SWWM0001``; long n tokens, long bits, long documents, long bits of a block; then document ids,
-document starts (one more than documents), and for each plane from the highest bit down: long zeros in the plane, ones
-before each block, place of each block (one more than blocks). Then the blocks, zstandard-compressed bits. A reader
-loads the directory and opens only the blocks that a query touches.
+File, little-endian: ``SWWM0002``; long n tokens, bits, documents, bits of a block, distinct tokens; the distinct
+tokens in order, whose places among themselves are what the planes hold; document ids; document starts (one more than
+documents); for each plane from the highest bit down: long zeros in the plane, ones before each block, place of each
+block (one more than blocks). Then the blocks, zstandard-compressed bits. A reader loads the directory and opens only
+the blocks that a query touches.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from .shared import new_folder, parts_for, text_bytes, written
 from .tokens import encoder, groups
 
-MAGIC = b"SWWM0001"
-BLOCK_BITS = 1 << 18
+MAGIC = b"SWWM0002"
+#: Bits that are compressed, and worked on, at a time: few enough for a processor's cache.
+BLOCK_BITS = 1 << 16
 #: Bytes of text behind a partition, and the most tokens in one file.
 SHARD_BYTES = 12 << 20
 SHARD_TOKENS = 1 << 23
@@ -32,24 +34,32 @@ SHARD_TOKENS = 1 << 23
 
 def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, block_bits: int = BLOCK_BITS) -> bytes:
     """The file of a shard: ``ids`` of all its documents in a row; ``starts`` has each one's first place and the end."""
-    n, bits = len(ids), max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+    alphabet = np.flatnonzero(seen)
+    n, bits = len(ids), max(1, (len(alphabet) - 1).bit_length())
+    code = np.zeros(len(seen), np.uint16 if bits <= 16 else np.uint32)
+    code[alphabet] = np.arange(len(alphabet))
+    a = code[ids]
     kind, press = a.dtype.type, zstandard.ZstdCompressor(level=1)
     planes, blocks, at = [], [], 0
+    ones = np.empty_like(a)
     for p in range(bits - 1, -1, -1):
-        bit = (a >> kind(p) & kind(1)).astype(bool)
-        before, places, ones = [], [at], 0
+        before, places, zero, one = [], [at], 0, 0
         for i in range(0, n, block_bits):
-            part = bit[i : i + block_bits]
-            before.append(ones)
-            ones += int(np.count_nonzero(part))
-            blocks.append(press.compress(np.packbits(part).tobytes()))
+            part = a[i : i + block_bits]
+            bit = (part & kind(1 << p)) != 0
+            before.append(one)
+            blocks.append(press.compress(np.packbits(bit).tobytes()))
             at += len(blocks[-1])
             places.append(at)
-        planes.append(np.r_[n - ones, before, places].astype("<i8").tobytes())
-        a = np.concatenate([a[~bit], a[bit]])
-    head = np.array([n, bits, len(doc_ids), block_bits], "<i8").tobytes()
-    return b"".join([MAGIC, head, doc_ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), *planes, *blocks])
+            low, high = part.take(np.flatnonzero(~bit)), part.take(np.flatnonzero(bit))
+            a[zero : zero + len(low)] = low  # what it overwrites has been read
+            ones[one : one + len(high)] = high
+            zero, one = zero + len(low), one + len(high)
+        planes.append(np.r_[zero, before, places].astype("<i8").tobytes())
+        a[zero:] = ones[:one]
+    head = np.array([n, bits, len(doc_ids), block_bits, len(alphabet)], "<i8").tobytes()
+    return b"".join([MAGIC, head, alphabet.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), *planes, *blocks])
 
 
 class Shard:
@@ -59,7 +69,8 @@ class Shard:
         self.f = f
         if f.read(8) != MAGIC:
             raise ValueError("not a shard of token ids")
-        self.n, self.bits, docs, self.block_bits = (int(x) for x in self._longs(4))
+        self.n, self.bits, docs, self.block_bits, distinct = (int(x) for x in self._longs(5))
+        self.alphabet = self._longs(distinct)
         self.doc_ids, self.starts = self._longs(docs), self._longs(docs + 1)
         blocks = -(-self.n // self.block_bits)
         self.zeros, self.before, self.places = [], [], []
@@ -104,16 +115,21 @@ class Shard:
             one, ones = bool(self._block(p, block)[rest]), self._ones(p, i)
             token = token << 1 | one
             i = self.zeros[p] + ones if one else i - ones
-        return token
+        return int(self.alphabet[token])
+
+    def _code(self, token: int) -> int:
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else -1
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         """Where, below the last plane, the token's occurrences begin, and where those before place i end."""
-        if token < 0 or token >> self.bits:
+        code = self._code(token)
+        if code < 0:
             return 0, 0
         low, high = 0, i
         for p in range(self.bits):
             a, b = self._ones(p, low), self._ones(p, high)
-            low, high = (self.zeros[p] + a, self.zeros[p] + b) if token >> (self.bits - 1 - p) & 1 else (low - a, high - b)
+            low, high = (self.zeros[p] + a, self.zeros[p] + b) if code >> (self.bits - 1 - p) & 1 else (low - a, high - b)
         return low, high
 
     def rank(self, token: int, i: int | None = None) -> int:
@@ -126,9 +142,9 @@ class Shard:
         low, high = self._range(token, self.n)
         if not 0 <= k < high - low:
             raise IndexError(k)
-        i = low + k
+        i, code = low + k, self._code(token)
         for p in range(self.bits - 1, -1, -1):
-            one = bool(token >> (self.bits - 1 - p) & 1)
+            one = bool(code >> (self.bits - 1 - p) & 1)
             i = self._find(p, one, i - self.zeros[p] if one else i)
         return i
 
@@ -141,13 +157,16 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         a = np.zeros(self.n, kind)
         for p in range(self.bits - 1, -1, -1):
-            blocks = [self._read_block(p, b) for b in range(len(self.before[p]))]
-            bit = np.concatenate(blocks) if blocks else np.zeros(0, bool)
-            up = np.empty(self.n, kind)
-            up[~bit] = a[: self.zeros[p]]
-            up[bit] = a[self.zeros[p] :] | kind(1 << (self.bits - 1 - p))
+            up, zero, one = np.empty(self.n, kind), 0, self.zeros[p]
+            for b in range(len(self.before[p])):
+                bit = self._read_block(p, b)
+                part = up[b * self.block_bits : b * self.block_bits + len(bit)]
+                low, high = np.flatnonzero(~bit), np.flatnonzero(bit)
+                part[low] = a[zero : zero + len(low)]
+                part[high] = a[one : one + len(high)] | kind(1 << (self.bits - 1 - p))
+                zero, one = zero + len(low), one + len(high)
             a = up
-        return a
+        return self.alphabet.astype(np.uint32)[a]
 
 
 def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:

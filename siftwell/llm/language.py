@@ -62,10 +62,16 @@ def has_letters(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def _unit(packed: np.ndarray) -> np.ndarray:
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 class Model:
     """Landmarks and weights: scores of a batch are ``(sets @ landmarks) @ weights``."""
 
-    def __init__(self, x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> None:
+    def __init__(self, packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> None:
+        """``packed``: the training sets as packed bits, opened a few at a time."""
         self.langs = sorted(set(labels))
         marks: dict[str, int] = {}
         chosen = []
@@ -73,14 +79,14 @@ class Model:
             marks[lang] = marks.get(lang, 0) + 1
             if marks[lang] <= landmarks:
                 chosen.append(i)
-        self.landmarks = np.ascontiguousarray(x[chosen].T)
-        k = (x @ self.landmarks).astype(np.float64)
+        self.landmarks = np.ascontiguousarray(np.concatenate([_unit(packed[c]) for c in np.array_split(chosen, -(-len(chosen) // 64))]).T)
+        k = np.concatenate([_unit(packed[i : i + 64]) @ self.landmarks for i in range(0, len(packed), 64)]).astype(np.float64)
         values, vectors = np.linalg.eigh(k[chosen])
         good = values > values.max() * 1e-6
         self.map = vectors[:, good] / np.sqrt(values[good])  # k(x, landmarks) @ map: Nystroem features
-        phi = np.c_[k @ self.map, np.ones(len(x))]
+        phi = np.c_[k @ self.map, np.ones(len(packed))]
         y = np.array([[1.0 if a == b else -1.0 for b in self.langs] for a in labels])
-        penalty = np.diag(np.r_[np.full(phi.shape[1] - 1, ridge * len(x)), 1e-9])
+        penalty = np.diag(np.r_[np.full(phi.shape[1] - 1, ridge * len(packed)), 1e-9])
         w = np.linalg.solve(phi.T @ phi + penalty, phi.T @ y)
         self.weights, self.bias = (self.map @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
 
@@ -118,8 +124,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, r.h, bytes(r.bits)))
-    x = np.stack([np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in got]).astype(np.float32)
-    return Model(x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)), [r.lang for r in got])
+    return Model(np.stack([np.frombuffer(r.bits, np.uint8) for r in got]), [r.lang for r in got])
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

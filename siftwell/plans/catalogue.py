@@ -22,14 +22,14 @@ _FILE_COLUMNS = ("hash", "size", "mtime", "path")
 
 
 def documents_as_files(spark: SparkSession, sf_dir: str, empties: bool = False) -> DataFrame:
-    """hash, size, mtime, path and doc_id of each document; with ``empties`` those of source src3 have no content."""
+    """hash, size, mtime, path, doc_id and text of each document; with ``empties`` those of source src3 have no content."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     text = F.when(F.col("source") == "src3", F.lit("")).otherwise(F.col("text")) if empties else F.col("text")
     end = F.lit(".tmp")
     for k, v in _SUFFIX.items():
         end = F.when(F.col("doc_id") % 6 == k, F.lit(v)).otherwise(end)
     path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), end)
-    return docs.select(hash_column(text).alias("hash"), F.octet_length(text).cast("long").alias("size"), (F.lit(1704067200) + F.col("doc_id") * 3600).cast("double").alias("mtime"), path.alias("path"), "doc_id")
+    return docs.select(hash_column(text).alias("hash"), F.octet_length(text).cast("long").alias("size"), (F.lit(1704067200) + F.col("doc_id") * 3600).cast("double").alias("mtime"), path.alias("path"), "doc_id", text.alias("text"))
 
 
 def _sql(body: str, empties: bool = False) -> str:
@@ -63,7 +63,7 @@ def _(files):
 
 @_query("xxh64_files")
 def _(files):
-    return files.select("path", hash_column(F.col("path"), "xxh64").alias("hash"))
+    return files.select("path", hash_column(F.col("text"), "xxh64").alias("hash"))
 
 
 @_query("extension_of", rf"SELECT path, {_EXT_SQL} AS ext FROM files")

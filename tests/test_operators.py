@@ -1,4 +1,5 @@
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siftwell.operators import duplicates, records, selection
@@ -23,6 +24,15 @@ def test_other_queries_have_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() == 200
 
 
+def test_xxh64_files_hashes_the_texts(spark, tmp_path):
+    texts = ["This is a test file for hashing.", "Ä" * 5000, "", None, "This is a test file for hashing."]
+    rows = [(i, t, "en", "src3") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {int(r.path.split("_")[1][:7]): r.hash for r in catalogue.QUERIES["xxh64_files"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else xxhash.xxh64(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    assert got[0] == got[4] == "8471ab391af8733a"
+
+
 def paths(df):
     return sorted(r.path for r in df.select("path").collect())
 

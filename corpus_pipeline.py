@@ -17,15 +17,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of linked fingerprints, and of its repeated rows one; rows of no id go."""
-    groups = simhash.near_duplicates(docs).filter("doc_id = component_id")
-    first = written(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows")), "first")
-    all_ = docs.hint("merge")  # ids grow with the documents: never broadcast
-    kept = all_.join(first.filter("_rows = 1"), "doc_id", "left_semi")
-    repeated = first.filter("_rows > 1")
-    if not repeated.isEmpty():
-        kept = kept.unionByName(all_.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """Keeps one document of each group of linked fingerprints: that of least id; one of no id only where all have none."""
+    return simhash.survivors(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,15 +52,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h)).view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's whole text as a signed long of the same bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_hash: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row's whole text as a signed long of the same bits; with ``row_hash`` also row."""
+    also = [_row_hash(docs).alias("row")] if row_hash else []
 
     def f(batches):
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64), pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64), pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(f, "doc_id long, fp long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *also)
+    return rows.mapInArrow(f, "doc_id long, fp long" + ", row long" * row_hash)
+
+
+def _row_hash(docs: DataFrame):
+    """Column: hash of a whole row, where the nulls are included."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
 def _masks(low: int, high: int, most: int) -> list[tuple[int, int]]:
@@ -146,14 +154,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of null ids only has a null component_id. Repeated rows give repeated rows; an empty table gives none.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), radius))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = _rooted(written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes"), radius)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(named, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def _rooted(classes: DataFrame, radius: int) -> DataFrame:
+    """``classes`` (fp, least) with root, the least fingerprint of each one's group."""
+    roots = components(links(classes.select("fp"), radius))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each group of linked fingerprints: the one of least id, nulls last, and of those the one of least hash.
+
+    Groups are told by their fingerprints, so two groups that hold one id, or no ids at all, keep a row each. Of
+    repeated rows one is kept. A row is found again by its id and a 64-bit hash of all its columns; an empty table
+    gives none.
+    """
+    rows = written(fingerprints(docs, id_col, text_col, row_hash=True), "fingerprints")
+    repeats = rows.groupBy("fp", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "n")).alias("least")
+    rooted = _rooted(written(repeats.groupBy("fp").agg(least), "classes"), radius)
+    first = written(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.row").alias("_row"), F.col("least.n").alias("_n")), "first")
+    all_ = docs.withColumns({"_own": F.col(f"`{id_col}`").cast("long"), "_hash": _row_hash(docs)}).hint("merge")  # rows grow with the documents: never broadcast
+    same = (F.col("_hash") == F.col("_row")) & F.col("_own").eqNullSafe(F.col("_id"))
+    kept = all_.join(first.filter("_n = 1"), same, "left_semi")
+    repeated = first.filter("_n > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(all_.join(repeated, same, "left_semi").dropDuplicates(["_own", "_hash"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,6 +10,7 @@ import public_tokenizers
 import xxhash
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from siftwell.llm import decontaminate, language, packing, simhash, substrings, tokens, wavelet
 from siftwell.llm.components import components
 from siftwell.llm.wordhash import grams, hashes, sliding, spans
@@ -153,6 +154,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_one_document_of_each_group_stays(spark):
+    a, b, d, e, f, g = ("".join(f"{c}{i} " for i in range(30)) for c in "abdefg")
+    near = d.strip().upper()  # other text, one fingerprint with d
+    rows = [(5, a), (5, b), (3, d), (7, near), (7, e), (None, f), (None, f.upper()), (None, g), (None, g), (None, a), (None, None), (9, b), (3, d)]
+    table = docs(spark, [t for _, t in rows], [i for i, _ in rows], lang=["en", None] * 6 + ["en"]).repartition(3)
+    got = corpus_pipeline.near_duplicate_stage(spark, table, "")
+    kept = [(r.doc_id, r.text and r.text.lower()) for r in got.collect()]  # either spelling of f may stay
+    assert got.columns == table.columns
+    assert sorted(kept, key=repr) == sorted([(5, a), (5, b), (3, d), (7, e), (None, f), (None, g), (None, None)], key=repr)
+    assert corpus_pipeline.near_duplicate_stage(spark, docs(spark, []), "").count() == 0
+
+
 def test_components(spark):
     r = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(40)] + [(200, 200)]

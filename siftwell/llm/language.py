@@ -10,6 +10,9 @@ Sets are bit vectors of 2^15 hashed n-grams; n-grams that share a bit count as o
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,12 +20,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import utf8
+from .shared import utf8, written
 
 BITS = 15
 ORDERS = (1, 2, 3, 4)
-#: Labelled rows of each language that are learned from, landmarks among them, languages at most, and the ridge.
-SAMPLE, LANDMARKS, LANGUAGES, RIDGE = 300, 32, 64, 1e-2
+#: Labelled rows of each language that are learned from, landmarks among them, and the ridge.
+SAMPLE, LANDMARKS, RIDGE = 300, 32, 1e-2
+#: Landmarks of all languages together; more than 64 languages share them out evenly, but each has one at least.
+MARKS = 64 * LANDMARKS
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -70,24 +75,29 @@ def _unit(packed: np.ndarray) -> np.ndarray:
 class Model:
     """Landmarks and weights: scores of a batch are ``(sets @ landmarks) @ weights``."""
 
-    def __init__(self, packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> None:
-        """``packed``: the training sets as packed bits, opened a few at a time."""
-        self.langs = sorted(set(labels))
-        marks: dict[str, int] = {}
-        chosen = []
-        for i, lang in enumerate(labels):
-            marks[lang] = marks.get(lang, 0) + 1
-            if marks[lang] <= landmarks:
-                chosen.append(i)
-        self.landmarks = np.ascontiguousarray(np.concatenate([_unit(packed[c]) for c in np.array_split(chosen, -(-len(chosen) // 64))]).T)
-        k = np.concatenate([_unit(packed[i : i + 64]) @ self.landmarks for i in range(0, len(packed), 64)]).astype(np.float64)
-        values, vectors = np.linalg.eigh(k[chosen])
+    def __init__(self, marks: np.ndarray, langs: list[str], samples: Iterable[tuple[str, bytes]], ridge: float = RIDGE) -> None:
+        """``marks``: the landmarks' sets as packed bits; ``samples``: languages and sets of all rows, gone through once."""
+        self.langs = sorted(langs)
+        number = {lang: i for i, lang in enumerate(self.langs)}
+        self.landmarks = np.empty((1 << BITS, len(marks)), np.float32)
+        for i in range(0, len(marks), 64):
+            self.landmarks[:, i : i + 64] = _unit(marks[i : i + 64]).T
+        k = np.concatenate([_unit(marks[i : i + 64]) @ self.landmarks for i in range(0, len(marks), 64)]).astype(np.float64)
+        values, vectors = np.linalg.eigh(k)
         good = values > values.max() * 1e-6
         self.map = vectors[:, good] / np.sqrt(values[good])  # k(x, landmarks) @ map: Nystroem features
-        phi = np.c_[k @ self.map, np.ones(len(packed))]
-        y = np.array([[1.0 if a == b else -1.0 for b in self.langs] for a in labels])
-        penalty = np.diag(np.r_[np.full(phi.shape[1] - 1, ridge * len(packed)), 1e-9])
-        w = np.linalg.solve(phi.T @ phi + penalty, phi.T @ y)
+        size, n = self.map.shape[1] + 1, 0
+        left, right = np.zeros((size, size)), np.zeros((size, len(self.langs)))
+        for block in itertools.batched(samples, 64):
+            x = _unit(np.stack([np.frombuffer(bits, np.uint8) for _, bits in block]))
+            phi = np.c_[(x @ self.landmarks).astype(np.float64) @ self.map, np.ones(len(block))]
+            y = np.full((len(block), len(self.langs)), -1.0)
+            y[np.arange(len(block)), [number[lang] for lang, _ in block]] = 1.0
+            left += phi.T @ phi
+            right += phi.T @ y
+            n += len(block)
+        penalty = np.diag(np.r_[np.full(size - 1, ridge * n), 1e-9])
+        w = np.linalg.solve(left + penalty, right)
         self.weights, self.bias = (self.map @ w[:-1]).astype(np.float32), w[-1].astype(np.float32)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -100,10 +110,11 @@ def held_out(doc_id, folds: int = FOLDS):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Learn from at most ``sample`` rows of each of at most ``LANGUAGES`` languages, none of them held out.
+    """Learn from at most ``sample`` rows of each language, none of them held out; every label is learned.
 
-    The sample is the rows of least hash of id and text, so it is the same however the table is dealt out. Only bit
-    vectors of 4 KB reach the driver. None if no row has both a label and letters.
+    The sample is the rows of least hash of id and text, so it is the same however the table is dealt out. Its bit
+    vectors of 4 KB are written in the shared folder; the driver holds the landmarks and reads the others a part at a
+    time. None if no row has both a label and letters.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
@@ -111,20 +122,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for key in (["lang", "salt"], ["lang"]):  # a language may have most rows: first in 16 parts, then the best of those
         order = Window.partitionBy(*key).orderBy("h", "doc_id")
         least = least.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).drop("rank")
-    keys = least.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
-    langs = [r.lang for r in keys.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    chosen = rows.join(F.broadcast(keys.filter(F.col("lang").isin(langs))), ["lang", "h"], "left_semi")  # at most LANGUAGES * sample keys
+    keys = written(least.select("lang", "h").distinct(), "sample")  # its size tells whether it can be broadcast
+    chosen = rows.join(keys, ["lang", "h"], "left_semi")
 
     def f(batches):
         for b in batches:
             packed = [np.packbits(sets(b.column(0), i, i + 1) > 0).tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(packed, pa.binary())], ["lang", "h", "bits"])
 
-    got = chosen.select("text", "lang", "h").mapInArrow(f, "lang string, h long, bits binary").distinct().collect()
-    if not got:
+    got = written(chosen.select("text", "lang", "h").mapInArrow(f, "lang string, h long, bits binary").distinct(), "bits")
+    langs = [r.lang for r in got.select("lang").distinct().collect()]
+    if not langs:
         return None
-    got.sort(key=lambda r: (r.lang, r.h, bytes(r.bits)))
-    return Model(np.stack([np.frombuffer(r.bits, np.uint8) for r in got]), [r.lang for r in got])
+    share = max(1, min(LANDMARKS, MARKS // len(langs)))
+    ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "bits"))).filter(F.col("rank") <= share)
+    marks = ranked.orderBy("lang", "rank").select("bits").collect()
+    samples = ((r.lang, bytes(r.bits)) for r in got.orderBy("lang", "h", "bits").select("lang", "bits").toLocalIterator())
+    return Model(np.stack([np.frombuffer(r.bits, np.uint8) for r in marks]), langs, samples)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

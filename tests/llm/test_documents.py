@@ -327,6 +327,19 @@ def test_odd_texts_have_no_language(spark):
     assert language.predict(docs(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("marks", [language.LANDMARKS * 64, 40])
+def test_every_label_is_learned(spark, monkeypatch, marks):
+    monkeypatch.setattr(language, "MARKS", marks, raising=False)
+    r = random.Random(8)
+    langs = [f"l{i:02}" for i in range(70)]
+    words = {k: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in langs}
+    rows = [(k, " ".join(r.choice(words[k]) for _ in range(40))) for k in langs for _ in range(10 if k < "l69" else 400)]
+    table = docs(spark, [t for _, t in rows], lang=[k for k, _ in rows])
+    model = language.fit(table)
+    assert model.langs == langs and model.landmarks.shape[1] <= max(marks, 70)
+    assert table.count() == language.predict(table, model).filter("lang = lang_pred").count()
+
+
 def test_presence_of_long_texts_is_that_of_whole_texts(monkeypatch):
     data = np.frombuffer("Über den Wolken, 123 muss die Freiheit".encode() * 9, np.uint8)
     whole, parts = np.zeros(1 << language.BITS), np.zeros(1 << language.BITS)

@@ -2,8 +2,9 @@
 
 A conversation is formatted once, turn by turn. Every assistant turn is an example of its own: its context is all
 that comes before it in the conversation, and only its text is under the loss mask. As all contexts of a conversation
-are prefixes of one text, an example holds its reply and where its context ends; ``flat`` writes contexts out. So a
-conversation of very many turns costs its length, not the square of it, and may lie in several tasks.
+are prefixes of one text, the formatted turns hold each reply and where its context ends; a conversation of very many
+turns may then lie in several tasks. ``expanded`` writes every example with its context, prefix after prefix in order,
+which costs up to the square of a conversation's length; ``digests`` are read from those.
 
 Template of a turn: ``### role: text</turn>`` and a line end. In texts and roles ``\\`` becomes ``\\\\``, ``###``
 becomes ``\\h`` and ``</turn>`` becomes ``\\e``; in roles ``:`` also becomes ``\\c``. No mark is left inside.
@@ -23,6 +24,8 @@ from .shared import parts_for, text_bytes, written
 _OUT = {"\\\\": "\\", "\\h": "###", "\\e": "</turn>", "\\c": ":"}
 _TURN = re.compile(r"### ([^:]*): ((?:(?!###|</turn>).)*)</turn>\n", re.S)
 PART_BYTES = 32 << 20
+#: Code points of examples that a task writes at once.
+BATCH_CHARS = 4 << 20
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -110,60 +113,100 @@ def _carried(local: DataFrame) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def expanded(formatted: DataFrame) -> DataFrame:
+    """Examples written out: conv_id, example, text (context and reply), loss_begin, loss_end in it; in no order.
+
+    What a conversation has after its last reply is a row of a null example, without the context. Turns stream through
+    in order, so a task holds one context and ``BATCH_CHARS`` of examples.
+    """
+
+    def f(batches):
+        now, context, since = (), "", []
+        out: list[tuple] = []
+        chars = 0
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("conv_id", "text", "begin", "example", "loss_begin", "loss_end")]
+            for conv, text, begin, example, i, j in zip(*columns, strict=True):
+                if now != (conv,):
+                    if since:
+                        out.append((now[0], None, "".join(since), None, None))
+                        chars += len(out[-1][2])
+                    now, context, since = (conv,), "", []
+                since.append(text)
+                if example is not None:
+                    context += "".join(since)
+                    since = []
+                    if begin != len(context) - len(text):
+                        raise ValueError(f"turns of conversation {conv} are missing before its example {example}")
+                    out.append((conv, example, context, begin + i, begin + j))
+                    chars += len(context)
+                if chars >= BATCH_CHARS:
+                    yield _batch(out, names, kinds)
+                    out, chars = [], 0
+        if since:
+            out.append((now[0], None, "".join(since), None, None))
+        yield _batch(out, names, kinds)
+
+    names = ["conv_id", "example", "text", "loss_begin", "loss_end"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seg")
+    return rows.mapInArrow(f, "conv_id long, example long, text string, loss_begin long, loss_end long")
+
+
+def _batch(rows: list, names: list[str], kinds: list) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
+
 def flat(formatted: DataFrame) -> DataFrame:
     """Examples written out: conv_id, example, text (context and reply), loss_begin, loss_end in it.
 
-    A conversation of n turns gives up to n/2 texts of up to its length: meant for conversations that fit a window.
+    A conversation of n turns gives up to n/2 texts of up to its length.
     """
-    replies = formatted.filter("example IS NOT NULL").select("conv_id", "example", F.col("seg").alias("upto"), F.col("begin").alias("at"), "loss_begin", "loss_end")
-    turns = formatted.select("conv_id", "seg", "text")
-    joined = replies.join(turns, replies["conv_id"].eqNullSafe(turns["conv_id"]) & (F.col("seg") <= F.col("upto"))).drop(turns["conv_id"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]), "")
-    out = joined.groupBy("conv_id", "example", "at", "loss_begin", "loss_end").agg(text.alias("text"))
-    return out.select("conv_id", "example", "text", (F.col("at") + F.col("loss_begin")).alias("loss_begin"), (F.col("at") + F.col("loss_end")).alias("loss_end"))
+    return expanded(formatted).filter("example IS NOT NULL")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, read back from the formatted turns: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """Per conversation, read back from its written examples: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    ``formatted_chars`` are the code points of all examples, contexts included. Turns stream through in order, so
-    a task holds no conversation.
+    ``formatted_chars`` are the code points of all examples, contexts included. Examples stream through in order, each
+    held against the one before it, so a task holds two of them and an Arrow batch.
     """
 
     def f(batches):
-        now, state = (), None
+        now, state, before = (), None, ""
 
         def row():
             return [now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]]
 
         for b in batches:
             out = []
-            columns = [b.column(c).to_pylist() for c in ("conv_id", "text", "begin", "example", "loss_begin", "loss_end")]
-            for conv, text, begin, example, i, j in zip(*columns, strict=True):
+            for k in range(b.num_rows):
+                conv, example, text, i, j = (b.column(c)[k].as_py() for c in ("conv_id", "example", "text", "loss_begin", "loss_end"))
                 if now != (conv,):
                     if state:
                         out.append(row())
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parse(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode())
+                    now, state, before = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0], ""
+                more = text
                 if example is not None:
+                    if not text.startswith(before):
+                        raise ValueError(f"example {example} of conversation {conv} doesn't go on from the one before it")
+                    more, before = text[len(before) :], text
                     reply = unescape(text[i:j])
                     state[2] += len(reply)
                     state[3].update(reply.encode())
-                    state[4] += begin + len(text)
-            yield batch(out)
+                    state[4] += len(text)
+                for role, said in parse(more):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{said}\n".encode())
+            yield _batch(out, names, kinds)
         if state:
-            yield batch([row()])
+            yield _batch([row()], names, kinds)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-
-    def batch(rows):
-        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
-
-    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(f, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    examples = written(expanded(formatted), "examples").repartition("conv_id").sortWithinPartitions("conv_id", F.col("example").asc_nulls_last())
+    return examples.mapInArrow(f, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 #: A conversation whose texts hold the template's own marks.

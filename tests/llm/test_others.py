@@ -135,6 +135,24 @@ def test_every_assistant_turn_is_an_example(spark, part):
     assert chats.digests(chats.format_chats(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("chars", [4 << 20, 40])
+def test_digests_are_read_from_written_examples(spark, monkeypatch, chars):
+    monkeypatch.setattr(chats, "BATCH_CHARS", chars, raising=False)
+    tables = {}
+    monkeypatch.setattr(chats, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    turns = [(c, t, "assistant" if t % 2 else "user", f"{c} ### {t}") for c in (1, 2, None) for t in range(5 + (c or 0))]
+    turns += [(3, 0, "user", "no reply"), (4, 0, "assistant", "only")]
+    formatted = chats.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chats.digests(formatted).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {1: 6, 2: 7, None: 5, 3: 1, 4: 1}
+    whole = {c: [f"### {r}: {chats.escape(x)}</turn>\n" for k, _, r, x in turns if k == c] for c in got}
+    texts = {(c, k): "".join(w[: 2 * k + 2 if c != 4 else 1]) for c, w in whole.items() for k in range(len(w) // 2 if c != 4 else 1)}
+    rows = tables["examples"].collect()
+    assert {(r.conv_id, r.example): r.text for r in rows if r.example is not None} == texts
+    assert {r.conv_id: r.text for r in rows if r.example is None} == {c: w[-1] for c, w in whole.items() if c in (2, 3, None)}
+    assert all(r.formatted_chars == sum(len(x) for (c, _), x in texts.items() if c == k) for k, r in got.items())
+
+
 # pipeline
 
 

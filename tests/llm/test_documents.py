@@ -5,6 +5,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import public_tokenizers
 import xxhash
@@ -82,12 +84,70 @@ def test_substring_dedup_is_brute_force(spark):
     r.shuffle(ids)
     ids[:4] = ids[4:8]  # several texts of one id
     df = docs(spark, texts, ids, _block=texts, n_words=texts, kept=texts)
-    for block in (1 << 20, 2000):
-        got = substrings.remove_repeats(df, block_bytes=block)
+    for block, crowd in ((1 << 20, 2000), (2000, 2000), (2000, 2)):
+        got = substrings.remove_repeats(df, block_bytes=block, crowd=crowd)
         assert "_block" in got.columns
         assert sorted(((x.doc_id, x.kept, x.n_words, x.n_removed) for x in got.collect()), key=repr) == brute_substrings(list(zip(ids, texts, strict=True)))
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("blind", [False, True])
+def test_words_are_compared_and_not_their_hashes(spark, monkeypatch, blind):
+    """Words that a polynomial modulo 2^64 can't tell apart, and hashes that tell nothing apart."""
+    a, b = thue_morse(1024), thue_morse(2048)[1024:]
+    few, n = [f"w{i}" for i in range(6)], 13
+    texts = [" ".join([*few, a, *few]), " ".join([*few, b, *few]), " ".join(["x", *few, b, *few, "y"]), " ".join([*few, *few, a])]
+    expected = brute_substrings(list(enumerate(texts)))
+    assert [r[3] for r in expected] == [0, 0, n, 0]
+    if blind:
+        monkeypatch.setattr(substrings, "hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    for crowd in (2000, 2):
+        assert sorted(in_process(texts, crowd), key=repr) == expected
+        if not blind:
+            got = substrings.remove_repeats(docs(spark, texts), block_bytes=100, crowd=crowd).collect()
+            assert sorted(((x.doc_id, x.kept, x.n_words, x.n_removed) for x in got), key=repr) == expected
+
+
+def in_process(texts, crowd, window=13, seed=5, bits=3):
+    """The operator's own steps without Spark, over one block for each document."""
+
+    tables = [pa.table({"_id": pa.array([i], pa.int64()), "_text": [t], "_carry": pa.array([{"x": i}]), "_block": pa.array([i], pa.int64())}) for i, t in enumerate(texts)]
+
+    def by(rows, column):
+        keys = set(rows[column].to_pylist())
+        return {k: rows.filter(pc.equal(rows[column], k)) for k in keys}
+
+    none = substrings._REPLY_ARROW.empty_table()
+    sent = pa.concat_tables([substrings._anchors_of(window, seed, bits)(t) for t in tables])
+    shared = pa.concat_tables([substrings._shared_anchors(crowd)(g) for g in by(sent, "range").values()])
+    to = by(shared, "block")
+    sent = pa.concat_tables([substrings._stretches_of(window, seed, bits)(t, to.get(i, none)) for i, t in enumerate(tables)])
+    earlier = pa.concat_tables([substrings._earlier(window)(g) for g in by(sent, "range").values()]) if sent.num_rows else none
+    to = by(pa.concat_tables([shared, earlier]), "block")
+    out = pa.schema([("_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("_carry", pa.struct([("x", pa.int64())]))])
+    rows = pa.concat_tables([substrings._cleaned(window, seed, bits, out)(t, to.get(i, none)) for i, t in enumerate(tables)])
+    return [(r["_id"], r["kept"], r["n_words"], r["n_removed"]) for r in rows.to_pylist()]
+
+
+def test_ranges_cost_no_more_than_their_keys():
+    keys = np.sort(np.random.default_rng(2).integers(0, 1 << 48, 50, dtype=np.uint64))
+    of, cut = substrings._cut(keys, 40)
+    assert len(of) == 50 and cut.tolist() == list(range(51))
+    of, cut = substrings._cut(keys, 2)
+    assert of.tolist() == sorted({int(k) >> 46 for k in keys}) and cut[-1] == 50
+    assert substrings._cut(keys[:0], 3)[1].tolist() == [0]
+
+
+def test_blocks_are_dealt_one_to_a_partition(spark):
+    n = 37
+    labels = substrings._labels(spark, n)
+    parts = spark.createDataFrame([(x,) for x in labels], "_block long").repartition(n, "_block").rdd.glom().map(len).collect()
+    assert len(set(labels)) == n and parts == [1] * n
+
+
 def test_substring_dedup_of_repeated_rows_and_null_ids(spark):
     long = " ".join(f"v{i}" for i in range(20))
     got = substrings.remove_repeats(docs(spark, [long, long, long, long], [5, 5, None, None]))

@@ -2,21 +2,25 @@
 
 Unit vectors of cosine t or more are within squared distance 2 - 2t. They are rotated and split into blocks; each
 block has a share of that budget in proportion to its dimensions, so two near vectors are within the share in one
-block at least. Each block is range-joined by itself: a grid over its leading coordinates, as wide as the share's
-radius, brings together vectors of the same and of neighbouring cells. The union of the candidates is verified by the
-whole vectors' cosine in double precision. A pair counts in the first block that has it within its share, so no pair
-is counted twice and none has to be written out.
-
-Equal vectors are one class with a count. A cell that holds very many classes is split into salted tiles.
+block at least. Each block is range-joined by itself. A grid over its leading coordinates, twice as wide as the
+share's radius, brings together the vectors of a cell (its own) and those of half of the cells around that come within
+the radius of it (guests). There, bitmaps of the rows below some marks on each coordinate give the pairs that can be within
+the radius on all coordinates of the block; only their distances are computed. The union of what is within a block's share is verified
+by the whole vectors' cosine in double precision. A pair counts in the first block that has it within its share, so no
+pair is counted twice and none has to be written out.
+
+Equal vectors are one class with a count. A cell of very many classes is split by the block's next coordinates, and
+where those are used up (a crowd of near copies) into tiles of parts that are held against each other.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +30,14 @@ from .shared import bottom, written
 
 COSINE = 0.93
 BLOCKS = 4
+#: Coordinates of a block that a level of the grid is over.
 LEAD = 2
-#: Classes of one cell that one task compares with each other; matrices of PART x PART are held at once.
-TILE = 4096
-_PART = 1024
+#: Classes of one cell, and guests, that one task holds against each other.
+TILE = 16_384
+#: Marks on a coordinate between its least and its greatest value.
+STEPS = 64
+_ROWS, _COLUMNS = 512, 4096  # that are held against each other at once
+_DENSE = 1 / 2  # share of pairs from which a matrix product is cheaper than pair by pair
 _NEAR = 1e-9  # figures from matrix products that are this near a bound are computed again, pair by pair
 
 
@@ -49,8 +57,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def turned(x: np.ndarray) -> np.ndarray:
+    """Rotated unit vectors; each row the same to the last bit, whatever the others are (a matrix product isn't)."""
+    return np.einsum("ij,jk->ik", unit(x), rotation(x.shape[1]), optimize=False)
+
+
 def budget(part: slice, dim: int, cosine: float) -> float:
-    return (2 - 2 * cosine) * (part.stop - part.start) / dim * (1 + 1e-9)
+    return max((2 - 2 * cosine) * (part.stop - part.start) / dim * (1 + 1e-9), 1e-18)
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -60,28 +73,62 @@ def _stack(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+_KEY = ["label", "dim", "block", "path"]
+_DEALT = [*_KEY, "guest", "gap", "cid", "embedding", "n"]
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel(), pa.int32()))
+
+
+def _around(axes: int) -> list[tuple[int, ...]]:
+    return list(itertools.product((0, -1, 1), repeat=axes))
+
+
 def _dealt(cosine: float, blocks: int, lead: int):
-    """Rows of a class for its own cell of each block and, as a guest, for half of the neighbouring cells."""
+    """From rows without a path or in a cell that is too large to rows in the cells of the next coordinates.
+
+    An own row stays own in its cell and is a guest in half of those around; a guest is one in all cells around. Both
+    only where the cell is within the radius, the coordinates of earlier levels (``gap``) included.
+    """
+
+    def one(b: pa.RecordBatch, dim: int, k: int) -> list[pa.RecordBatch]:
+        part = split(dim, blocks)[k]
+        path = np.asarray(b.column("path").flatten()).reshape(b.num_rows, -1)
+        level = path.shape[1]
+        at = slice(part.start + level, min(part.start + level + lead, part.stop))
+        most = budget(part, dim, cosine)
+        x = turned(_stack(b.column("embedding")))[:, at]
+        width = 2 * most**0.5
+        cell = np.floor(x / width).astype(np.int64)
+        guest, gap = np.asarray(b.column("guest")), np.asarray(b.column("gap"))
+        below, above = x - cell * width, (cell + 1) * width - x
+        out = []
+        for step in _around(x.shape[1]):
+            far = gap + sum(np.where(s < 0, below[:, i], above[:, i]) ** 2 * (s != 0) for i, s in enumerate(step))
+            own = not any(step)
+            half = own or next(s for s in step if s) > 0
+            to = np.flatnonzero((far <= most * (1 + 1e-9)) & (guest | half))
+            if len(to):
+                rows = b.take(pa.array(to))
+                new = np.c_[path[to], cell[to] + np.array(step)].astype(np.int32)
+                columns = {c: rows.column(c) for c in ("label", "dim", "cid", "embedding", "n")}
+                columns |= {"block": pa.array(np.full(len(to), k), pa.int32()), "path": _lists(new), "guest": pa.array(guest[to] | (not own)), "gap": pa.array(far[to])}
+                out.append(pa.RecordBatch.from_arrays([columns[c] for c in _DEALT], _DEALT))
+        return out
 
     def f(batches):
         for b in batches:
-            for dim in np.unique(sizes := np.asarray(pa.compute.list_value_length(b.column(2)))):
-                own = b.filter(pa.array(sizes == dim))
-                turned = unit(_stack(own.column(2))) @ rotation(int(dim))
-                for k, part in enumerate(split(int(dim), blocks)):
-                    axes = min(lead, part.stop - part.start)
-                    cell = np.floor(turned[:, part][:, :axes] / np.sqrt(budget(part, int(dim), cosine))).astype(np.int64)
-                    cell = np.c_[cell, np.zeros((len(cell), 2 - axes), np.int64)] if axes < 2 else cell
-                    for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
-                        if axes < 2 and dy and (dx or dy < 0):
-                            continue
-                        n = own.num_rows
-                        yield pa.RecordBatch.from_arrays([own.column(1), pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, k), pa.int32()), pa.array(cell[:, 0] + dx), pa.array(cell[:, 1] + dy), pa.array(np.full(n, bool(dx or dy))), own.column(0), own.column(2), own.column(3)], [*_KEY, "guest", "cid", "embedding", "n"])
+            for dim, k in sorted(set(zip(b.column("dim").to_pylist(), b.column("block").to_pylist(), strict=True))):
+                own = b.filter(pc.and_(pc.equal(b.column("dim"), dim), pc.equal(b.column("block"), k)))
+                for level in sorted(set(pc.list_value_length(own.column("path")).to_pylist())):
+                    yield from one(own.filter(pc.equal(pc.list_value_length(own.column("path")), level)), dim, k)
 
     return f
 
 
-_KEY = ["label", "dim", "block", "x", "y"]
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a - b) ** 2).sum(1)
 
 
 def _within(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
@@ -90,50 +137,139 @@ def _within(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
     out = d <= most
     i, j = np.nonzero(np.abs(d - most) < _NEAR)
     if len(i):
-        out[i, j] = [float(((a[p] - b[q]) ** 2).sum()) <= most for p, q in zip(i, j, strict=True)]
+        out[i, j] = _squares(a[i], b[j]) <= most
     return out
 
 
-def _near(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, cosine: float) -> np.ndarray:
-    s = a @ b.T
+class _Bitmaps:
+    """Which rows are near which on each coordinate by itself: bitmaps of the rows below each of ``STEPS`` marks."""
+
+    def __init__(self, x: np.ndarray, radius: float) -> None:
+        least = x.min(0)
+        scale = STEPS / np.maximum(x.max(0) - least, 1e-300)
+        mark = lambda y: np.clip(np.floor((y - least) * scale), 0, STEPS).astype(np.int64)  # noqa: E731  rises with y
+        radius *= 1 + 1e-9
+        self.mark, self.low, self.high = mark(x), mark(x - radius), mark(x + radius) + 1
+
+    def below(self, b: np.ndarray) -> list[np.ndarray]:
+        return [np.packbits(m < np.arange(STEPS + 2)[:, None], axis=1) for m in self.mark[b].T]
+
+    def near(self, a: np.ndarray, below: list[np.ndarray]) -> np.ndarray:
+        """For each row of ``a`` a bitmap of those rows whose marks are within its radius on all coordinates."""
+        both = None
+        for c, bits in enumerate(below):
+            got = bits[self.high[a, c]] ^ bits[self.low[a, c]]
+            both = got if both is None else np.bitwise_and(both, got, out=both)
+        return both
+
+
+def _ones(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each one."""
+    flat = bits.ravel()
+    at = np.flatnonzero(flat)
+    k, bit = np.nonzero(np.unpackbits(flat[at][:, None], axis=1))
+    row, byte = np.divmod(at[k], bits.shape[1])
+    return row, byte * 8 + bit
+
+
+def _cosines(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of rows, in turn, have the cosine; near the bound it is that of the vectors as they are."""
+    s = np.einsum("ij,ij->i", a, b)
     out = s >= cosine
-    i, j = np.nonzero(np.abs(s - cosine) < _NEAR)
-    if len(i):
-        out[i, j] = [float(x @ y) / (float(x @ x) ** 0.5 * float(y @ y) ** 0.5) >= cosine for x, y in zip(raw_a[i], raw_b[j], strict=True)]
+    for k in np.flatnonzero(np.abs(s - cosine) < _NEAR):
+        x, y = raw_a[k], raw_b[k]
+        out[k] = float(x @ y) / (float(x @ x) ** 0.5 * float(y @ y) ** 0.5) >= cosine
     return out
 
 
 def _linked(cosine: float, blocks: int):
     def f(table: pa.Table) -> pa.Table:
-        raw = _stack(table["embedding"])
-        dim, block = raw.shape[1], table["block"][0].as_py()
-        turned, parts, plain = unit(raw) @ rotation(dim), split(dim, blocks), unit(raw)
-        n, guest = table["n"].to_numpy(), table["guest"].to_numpy()
-        own, all_ = np.flatnonzero(~guest), np.r_[np.flatnonzero(~guest), np.flatnonzero(guest)]
-        links, labels = np.zeros(len(raw), np.int64), np.arange(len(raw))
-        for i in range(0, len(own), _PART):
-            a = own[i : i + _PART]
-            for j in range(i, len(all_), _PART):
-                b = all_[j : j + _PART]
-                found = _within(turned[a][:, parts[block]], turned[b][:, parts[block]], budget(parts[block], dim, cosine))
-                if i == j:
-                    found &= np.arange(len(a))[:, None] < np.arange(len(b))
-                if not found.any():
-                    continue
-                found &= _near(plain[a], plain[b], raw[a], raw[b], cosine)
-                for k in range(block if found.any() else 0):
-                    found &= ~_within(turned[a][:, parts[k]], turned[b][:, parts[k]], budget(parts[k], dim, cosine))
-                links[a] += found @ n[b]
-                links[b] += found.T @ n[a]
-                p, q = np.nonzero(found)
-                labels = bottom(labels, a[p], b[q])
-        some = np.flatnonzero(links)
-        cid = table["cid"].to_numpy()
-        return pa.table({"cid": cid[some], "root": cid[labels[some]], "links": links[some]})
+        return linked(table, cosine, blocks)[0]
 
     return f
 
 
+def linked(table: pa.Table, cosine: float, blocks: int) -> tuple[pa.Table, int]:
+    """The links of a cell or tile: cid, the least cid it is linked with here, its links; and the distances computed.
+
+    Own rows are held against each other if ``i = j``, and against all guests.
+    """
+    raw = _stack(table["embedding"])
+    dim, block = raw.shape[1], table["block"][0].as_py()
+    turn, parts, plain = turned(raw), split(dim, blocks), unit(raw)
+    most = [budget(p, dim, cosine) for p in parts]
+    inside = [np.ascontiguousarray(turn[:, p]) for p in parts[: block + 1]]
+
+    def sparse(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(_squares(inside[block][x], inside[block][y]) <= most[block])
+        x, y = x[near], y[near]
+        good = _cosines(plain[x], plain[y], raw[x], raw[y], cosine)
+        for k in range(block):
+            good &= _squares(inside[k][x], inside[k][y]) > most[k]
+        return near[good]
+
+    def dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        good = _within(inside[block][a], inside[block][b], most[block])
+        s = plain[a] @ plain[b].T
+        close = np.abs(s - cosine) < _NEAR
+        good &= (s >= cosine) | close
+        for k in range(block):
+            good &= ~_within(inside[k][a], inside[k][b], most[k])
+        i, j = np.nonzero(good & close)
+        good[i, j] = _cosines(plain[a[i]], plain[b[j]], raw[a[i]], raw[b[j]], cosine)
+        return good
+
+    n, guest = table["n"].to_numpy(), table["guest"].to_numpy()
+    own, others = np.flatnonzero(~guest), np.flatnonzero(guest)
+    within = table["i"][0].as_py() == table["j"][0].as_py()
+    all_ = np.r_[own, others] if within else others
+    bitmaps = _Bitmaps(inside[block], most[block] ** 0.5)
+    links, labels, compared = np.zeros(len(raw), np.int64), np.arange(len(raw)), 0
+    for j in range(0, len(all_), _COLUMNS):
+        b = all_[j : j + _COLUMNS]
+        below = bitmaps.below(b)
+        for i in range(0, min(len(own), j + _COLUMNS) if within and j < len(own) else len(own), _ROWS):
+            a = own[i : i + _ROWS]
+            bits = bitmaps.near(a, below)
+            count = int(np.bitwise_count(bits).sum())
+            if count > _DENSE * len(a) * len(b):
+                count = len(a) * len(b)
+                some = np.nonzero(dense(a, b))
+                checked = True
+            else:
+                some, checked = _ones(bits), False
+            p, q = some
+            if within:  # each pair of own rows once, none with itself
+                once = i + p < j + q
+                p, q = p[once], q[once]
+            compared += count if checked else len(p)
+            for k in range(0, len(p), 1 << 16):
+                x, y = a[p[k : k + (1 << 16)]], b[q[k : k + (1 << 16)]]
+                if not checked:
+                    good = sparse(x, y)
+                    x, y = x[good], y[good]
+                np.add.at(links, x, n[y])
+                np.add.at(links, y, n[x])
+                labels = bottom(labels, x, y)
+    some = np.flatnonzero(links)
+    cid = table["cid"].to_numpy()
+    return pa.table({"cid": cid[some], "root": cid[labels[some]], "links": links[some]}), compared
+
+
+def _tiled(dealt: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
+    """Rows of crowded cells, with i and j: own rows in parts, guests in further parts, part i against part j >= i."""
+    parts = sizes.select(*_KEY, F.greatest(F.ceil(F.col("own") / tile), F.lit(1)).cast("int").alias("to"), F.ceil((F.col("rows") - F.col("own")) / tile).cast("int").alias("more"))
+    spread = F.xxhash64("cid", F.lit(1))
+    at = F.when(F.col("guest"), F.col("to") + F.pmod(spread, F.greatest("more", F.lit(1)))).otherwise(F.pmod(spread, "to")).cast("int")
+    upto = lambda a, b, f: F.when(a <= b, F.transform(F.sequence(a, b), f)).otherwise(F.array().cast("array<struct<i:int,j:int,guest:boolean>>"))
+    entry = lambda i, j, guest: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(guest).alias("guest"))
+    left = upto(F.col("at"), F.col("to") + F.col("more") - 1, lambda j: entry(F.col("at"), j, False))
+    right = upto(F.lit(0), F.least(F.col("at"), F.col("to")) - 1, lambda i: entry(i, F.col("at"), True))
+    own = F.concat(left, right)
+    places = dealt.join(parts, _KEY).withColumn("at", at).withColumn("place", F.explode(F.when(F.col("guest"), right).otherwise(own)))
+    return places.select(*_KEY, F.col("place.guest").alias("guest"), "cid", "embedding", "n", F.col("place.i").alias("i"), F.col("place.j").alias("j"))
+
+
 def vector_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, blocks: int = BLOCKS, lead: int = LEAD, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per input row.
 
@@ -142,34 +278,44 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     vectors of different lengths never link. Rows of one id are vectors of their own, and count as links of each other
     if they are near. An empty table gives an empty one; other columns are dropped.
     """
-    if not 0 < lead <= 2:
-        raise ValueError("lead is 1 or 2")
+    if lead < 1:
+        raise ValueError("a level of the grid is over one coordinate at least")
     kind = "float" if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vec_col].dataType.containsNull) else "double"
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").cast(f"array<{kind}>").alias("embedding"))
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", odd) & F.exists("embedding", lambda v: v != 0)
-    rows = written(rows.withColumn("cid", F.when(F.coalesce(usable, F.lit(False)), F.xxhash64("label", "embedding"))), "vectors")
-    classes = written(rows.filter("cid IS NOT NULL").groupBy("cid").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least")), "classes")
-    schema = T.StructType([T.StructField("label", T.StringType()), *(T.StructField(c, T.IntegerType()) for c in ("dim", "block")), *(T.StructField(c, T.LongType()) for c in ("x", "y")), T.StructField("guest", T.BooleanType()), T.StructField("cid", T.LongType()), T.StructField("embedding", classes.schema["embedding"].dataType), T.StructField("n", T.LongType())])
-    dealt = classes.select("cid", "label", "embedding", "n").mapInArrow(_dealt(cosine, blocks, lead), schema)
-    sizes = dealt.filter("NOT guest").groupBy(_KEY).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > tile)
-    large = written(sizes.select(*_KEY, F.ceil(F.col("size") / tile).cast("int").alias("tiles")), "cells")
-    tiled = dealt.withColumn("tile", F.lit(0))
-    if not large.isEmpty():
-        small = dealt.join(large, _KEY, "left_anti").withColumn("tile", F.lit(0))
-        hot = dealt.join(large, _KEY).withColumn("at", F.pmod(F.xxhash64("cid", F.lit(1)), "tiles").cast("int"))
-        begin = F.when(F.col("guest"), F.lit(0)).otherwise(F.col("at"))
-        hot = hot.withColumn("tile", F.explode(F.sequence(begin, F.col("tiles") - 1))).withColumn("guest", F.col("guest") | (F.col("tile") != F.col("at")))
-        tiled = small.unionByName(hot.select(*small.columns))
-    linked = written(tiled.groupBy(*_KEY, "tile").applyInArrow(_linked(cosine, blocks), "cid long, root long, links long"), "linked")
-    counts = linked.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = components(linked.select(F.col("root").alias("a"), F.col("cid").alias("b")))
-    rooted = classes.select("cid", "n", "least").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "n", "least", F.coalesce("root", "cid").alias("root"))
+    usable = F.coalesce(usable, F.lit(False))
+    grouped = rows.filter(usable).groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
+    classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    kinds = {"label": T.StringType(), "dim": T.IntegerType(), "block": T.IntegerType(), "path": T.ArrayType(T.IntegerType()), "guest": T.BooleanType(), "gap": T.DoubleType(), "cid": T.LongType(), "embedding": classes.schema["embedding"].dataType, "n": T.LongType()}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in _DEALT])
+    dim = F.size("embedding")
+    whole = classes.select("label", dim.alias("dim"), F.explode(F.sequence(F.lit(0), F.least(F.lit(blocks), dim) - 1)).alias("block"), F.array().cast("array<int>").alias("path"), F.lit(False).alias("guest"), F.lit(0.0).alias("gap"), "cid", "embedding", "n")
+    dealt, found, out = whole.mapInArrow(_dealt(cosine, blocks, lead), schema), None, "cid long, root long, links long"
+    while True:
+        sizes = dealt.groupBy(_KEY).agg(F.count_if(~F.col("guest")).alias("own"), F.count(F.lit(1)).alias("rows"))
+        crowded = written(sizes.filter((F.col("own") > 0) & (F.greatest(F.col("own"), F.col("rows") - F.col("own")) > tile)), "cells")
+        none = crowded.isEmpty()
+        plain = dealt if none else dealt.join(crowded.select(*_KEY), _KEY, "left_anti")
+        here = plain.select(*_KEY, "guest", "cid", "embedding", "n", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        if none:
+            found = [*(found or []), here]
+            break
+        more = written(dealt.join(crowded.select(*_KEY), _KEY, "left_semi"), "crowded")
+        used = F.size("path") >= F.floor(F.col("dim") / F.least(F.lit(blocks), F.col("dim")))  # coordinates of the smallest block
+        found = [*(found or []), here, _tiled(more.filter(used), crowded.filter(used), tile)]
+        dealt = more.filter(~used).mapInArrow(_dealt(cosine, blocks, lead), schema)
+    linked_ = [x.groupBy(*_KEY, "i", "j").applyInArrow(_linked(cosine, blocks), out) for x in found]
+    links = written(functools.reduce(DataFrame.unionByName, linked_), "linked")
+    counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
+    roots = components(links.select(F.col("root").alias("a"), F.col("cid").alias("b")))
+    rooted = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "label", "embedding", "n", "least", F.coalesce("root", "cid").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").join(counts, "cid", "left").select("cid", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "cid").join(of, "cid", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    of = rooted.join(named, "root").join(counts, "cid", "left").select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    some, none = rows.filter(usable), rows.filter(~usable)
+    same = some.join(of, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    every = same.unionByName(none.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:

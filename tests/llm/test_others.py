@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -32,7 +33,7 @@ def brute(rows, cosine=0.93):
     return sorted((str(r[0]), sum(near[k]), str(least[k]), r[0] is not None and least[k] == r[0]) for k, r in enumerate(rows))
 
 
-@pytest.mark.parametrize(("dim", "tile"), [(16, 4096), (16, 3), (3, 4096), (1, 4096)])
+@pytest.mark.parametrize(("dim", "tile"), [(16, 4096), (16, 3), (18, 1), (3, 4096), (1, 4096), (1, 2)])
 def test_vectors_are_linked_as_by_brute_force(spark, dim, tile):
     r = np.random.default_rng(dim)
     rows = []
@@ -48,6 +49,48 @@ def test_vectors_are_linked_as_by_brute_force(spark, dim, tile):
     assert sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in got) == brute(rows)
 
 
+@pytest.mark.parametrize("dense", [0.0, 0.5, 2.0])
+def test_cells_give_what_all_pairs_give(dense, monkeypatch):
+    """One cell, by bitmaps and by matrix products, with parts of few rows."""
+    monkeypatch.setattr(vectors, "_DENSE", dense)
+    monkeypatch.setattr(vectors, "_ROWS", 7)
+    monkeypatch.setattr(vectors, "_COLUMNS", 11)
+    r = np.random.default_rng(5)
+    x = np.repeat(r.normal(size=(12, 8)), 5, 0) + r.normal(size=(60, 8)) * 0.2
+    guest = np.arange(60) % 3 == 0
+    for block in (0, 1):
+        for j in (0, 1):
+            table = pa.table({"embedding": x.tolist(), "block": [block] * 60, "n": [1] * 60, "guest": guest, "cid": range(60), "i": [0] * 60, "j": [j] * 60})
+            got, compared = vectors.linked(table, 0.93, 2)
+            u, t, parts = vectors.unit(x), vectors.turned(x), vectors.split(8, 2)
+            inside = [((t[:, None, p] - t[None, :, p]) ** 2).sum(2) <= vectors.budget(p, 8, 0.93) for p in parts]
+            expected = (u @ u.T >= 0.93) & inside[block] & ~(inside[0] if block else np.zeros((60, 60), bool)) & ~np.eye(60, dtype=bool)
+            expected &= ~(guest[:, None] & guest[None, :])
+            if j:
+                expected &= guest[:, None] | guest[None, :]
+            assert dict(zip(got["cid"].to_pylist(), got["links"].to_pylist())) == {k: n for k, n in enumerate(expected.sum(1).tolist()) if n}
+            assert compared <= 60 * 60
+
+
+def test_few_pairs_are_compared(spark):
+    """Block distances of all cells, against all pairs of a label, for two sizes: the share doesn't rise."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").filter("label IS NOT NULL").orderBy("vec_id").toArrow()
+    share = []
+    for n in (1000, 2000):
+        some = rows.slice(0, n)
+        pairs = sum(k * (k - 1) // 2 for k in some.group_by("label").aggregate([([], "count_all")])["count_all"].to_pylist())
+        whole = [{"label": str(v["label"]), "dim": 64, "block": k, "path": [], "guest": False, "gap": 0.0, "cid": i, "embedding": v["embedding"], "n": 1} for i, v in enumerate(some.to_pylist()) for k in range(4)]
+        kinds = {"label": pa.string(), "dim": pa.int32(), "block": pa.int32(), "path": pa.list_(pa.int32()), "guest": pa.bool_(), "gap": pa.float64(), "cid": pa.int64(), "embedding": pa.list_(pa.float32()), "n": pa.int64()}
+        dealt = pa.Table.from_batches(vectors._dealt(0.93, 4, 2)(pa.Table.from_pylist(whole, schema=pa.schema(kinds)).to_batches()))
+        assert dealt.num_rows < 12 * n
+        cells: dict = {}
+        for i, key in enumerate(zip(*(dealt[c].to_pylist() for c in ("label", "block", "path")))):
+            cells.setdefault(repr(key), []).append(i)
+        place = lambda t: t.append_column("i", pa.array([0] * t.num_rows)).append_column("j", pa.array([0] * t.num_rows))
+        share.append(sum(vectors.linked(place(dealt.take(x)), 0.93, 4)[1] for x in cells.values()) / pairs)
+    assert share[1] < 0.05 and share[1] < share[0] * 1.1
+
+
 def test_no_vectors(spark):
     assert vectors.vector_links(spark.createDataFrame([], SCHEMA)).count() == 0
 

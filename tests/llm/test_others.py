@@ -132,6 +132,119 @@ def test_generated_pages_give_their_articles(spark):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_generated_pages_need_no_article_element(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        text = pages.main_text(r.html)
+        for tag in ("div", "section"):
+            assert pages.main_text(r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag}>")) == text
+        assert pages.main_text(r.html.replace("<article>", "").replace("</article>", "")) == text
+
+
+def plain_rules(page):
+    """The two passes said plainly, over (text, linked, in article, containers from the outermost in) of each block."""
+    page = [b for b in page if b[0]]
+    words = lambda t: [w for w in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    share = lambda ts: sum(w in pages.STOP_WORDS for t in ts for w in words(t)) / max(1, sum(len(words(t)) for t in ts))
+    known = share([t for t, linked, _, _ in page if linked <= pages.LINKS * len(t)]) >= pages.LOW_STOPS
+    labels = []
+    for t, linked, article, _ in page:
+        n, s = len(t), share([t])
+        if linked > pages.LINKS * n or "©" in t and n < pages.LONG and not article:
+            labels.append("bad")
+        elif n < pages.SHORT:
+            labels.append("short")
+        elif not known:
+            labels.append("good" if n >= pages.LONG or "." in t else "short")
+        elif n >= pages.LONG and s >= pages.LOW_STOPS or s >= pages.HIGH_STOPS:
+            labels.append("good")
+        else:
+            labels.append("short" if s >= pages.LOW_STOPS else "thin")
+    if any(b[2] and x != "bad" for b, x in zip(page, labels, strict=True)):
+        page, labels = zip(*[(b, x) for b, x in zip(page, labels, strict=True) if b[2]], strict=True)
+    if "good" not in labels:
+        labels = ["good" if x == "thin" or x == "short" and len(b[0]) >= pages.SHORT else x for b, x in zip(page, labels, strict=True)]
+    out = []
+    for i, (b, label) in enumerate(zip(page, labels, strict=True)):
+        kept = label == "good" or label == "short"
+        for c in reversed(b[3] if label == "short" else b[3][-1:] if label == "thin" else []):
+            near = [(abs(i - j), labels[j] != "good") for j in range(len(page)) if c in page[j][3] and labels[j] in ("good", "bad")]
+            if near:
+                kept = not min(near)[1]
+                break
+        if kept:
+            out.append(b[0])
+    return "\n".join(out)
+
+
+def test_pages_are_judged_as_by_plain_rules():
+    r = random.Random(11)
+    stop, rare, cyrillic = ["the", "of", "and", "le", "der", "que"], ["zorp", "quun", "mirt", "blex"], ["город", "река", "дом", "небо"]
+
+    def sentence(kind):
+        share = {"text": 0.4, "medium": 0.16, "list": 0.0, "other": 0.0}[kind]
+        n = r.choice([2, 5, 14, 20, 60])
+        pick = cyrillic if kind == "other" else rare
+        text = " ".join(r.choice(stop) if r.random() < share else r.choice(pick) for _ in range(n))
+        return text + r.choice(["", ".", " ©"])
+
+    number = 0
+
+    def tree(depth, boxes, article, kinds, blocks):
+        nonlocal number
+        out = []
+        for _ in range(r.randint(1, 4)):
+            what = r.choice(["p", "h2", "p", "box", "box", "links", "other", "ul"])
+            if what in ("box", "ul") and depth < 4:
+                number += 1
+                tag = "ul" if what == "ul" else r.choice(["div", "section", "article"] if depth else ["div", "div", "section"])
+                inner = tree(depth + 1, [*boxes, number], article or tag == "article", kinds, blocks)
+                out.append(f"<{tag}>{inner}</{tag}>")
+            elif what == "other":
+                out.append(f"<div class='{r.choice(['ad', 'comments', 'share-buttons'])}'><p>{sentence('text')}</p></div>")
+            elif what == "links":
+                a, b = sentence("list"), r.choice(["", "x ", "and so on with no link at all "])
+                out.append(f"<p>{b}<a href='/a>b'>{a}</a></p>")
+                blocks.append((f"{b}{a}", len(a), article, boxes))
+            else:
+                text = sentence(r.choice(kinds))
+                out.append(f"<{what if what == 'h2' else 'p'}>{text}</{what if what == 'h2' else 'p'}>")
+                blocks.append((text, 0, article, boxes))
+        return "".join(out)
+
+    for n in range(3000):
+        blocks = []
+        page = tree(0, [0], False, [["text", "medium", "list"], ["list"], ["other"], ["medium", "list"], ["text"]][n % 5], blocks)
+        assert pages.main_text(page) == plain_rules(blocks), page
+
+
+def test_pages_of_other_languages_are_judged_by_length_and_links():
+    russian = ["Это длинный русский абзац текста, который рассказывает историю о городе и людях. " * 5, "Второй абзац продолжает рассказ о том же самом городе. " * 5]
+    italian = ["Questo è un paragrafo molto lungo che racconta la storia di una città e delle persone. " * 5, "Il secondo paragrafo continua a raccontare della stessa città per i lettori. " * 5]
+    for two in (russian, italian):
+        page = "<div><a href=x>Menu</a> <a href=y>Altro</a></div><div>" + "".join(f"<p>{p}</p>" for p in two) + "</div>"
+        assert pages.main_text(page) == "\n".join(p.strip() for p in two)
+    assert pages.main_text(f"<article><h1 class='page-header'>Head</h1><p>{WORDS * 3}</p></article>").startswith("Head\n")
+
+
+@pytest.mark.parametrize("part", ["<a href='", '<a b="\'', "<div>", "</b>", "<article>", "</script", "<a x='>'", "<", "<!--", "<a", "<p>x<ul><li>", "<nav><article>"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    took = []
+    for n in (10_000, 80_000):
+        began = time.process_time()
+        pages.main_text("<script>" * (part == "</script") + "<div>" * (n if part == "</b>" else 0) + part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02)  # 64 times if it were quadratic
+
+
+def test_columns_of_the_result_can_t_be_kept(spark):
+    df = spark.createDataFrame([(1, "u", "<p>x", "old", 9)], "page_id long, url string, html string, text string, n_chars long")
+    assert [(r.page_id, r.text, r.n_chars) for r in pages.extract(df).collect()] == [(1, "x", 1)]
+    with pytest.raises(ValueError):
+        pages.extract(df, keep=("page_id", "text"))
+
+
 def test_pages_of_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None), (1, "u", "<p>x"), (1, "u", "<p>x"), (2, "v", "<p>" * 20_000 + "<a href='" * 50)], "page_id long, url string, html string")
     assert sorted(((r.page_id, r.text) for r in pages.extract(df).collect()), key=repr)[:2] == [(1, "x"), (1, "x")]

@@ -250,6 +250,44 @@ def test_windows_of_short_and_odd_items(spark):
     assert decontaminate.contamination(docs(spark, []), items).count() == 0
 
 
+def counted(df):
+    """The rows of ``df`` and how many of them were read."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def f(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(f, df.schema), seen
+
+
+def test_large_benchmarks_are_joined_in_as_many_passes(spark):
+    """The index and the shuffle join give the same rows, and how often documents are read doesn't grow with the benchmark."""
+    r = random.Random(21)
+    vocabulary = ["a", "B", "the", "of", "Ä", "ß1", "x2", "漢字", "word"]
+    some = lambda n: " ".join(r.choice(vocabulary) + r.choice(["", ",", "  "]) for _ in range(n))
+    texts = [*ODD, *(some(r.randint(0, 60)) for _ in range(80))]
+    ids = [*range(len(texts) - 6), None, None, 3, 3, 3, 3]
+    texts[-1] = texts[-2]
+    df = docs(spark, texts, ids, spans=["x"] * len(texts), id=["y"] * len(texts), w=["z"] * len(texts))
+    own = [" ".join(t.split()[i : i + 14]) for t in texts[len(ODD) :] for i in (0, 7) if r.random() < 0.5]
+    items = [(i, t) for i, t in enumerate([*own, *own[:9], "the", "a B", "nowhere to be found", None, "", *(some(r.randint(1, 12)) for _ in range(30))])] + [(None, own[0])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(((x.doc_id, x.text, x.id, x.w, x.n_words, x.spans, x.n_hit, x["items"]) for x in df.collect()), key=repr)
+    expected = rows(decontaminate.contamination(df, bench))
+    assert sum(x[6] > 0 for x in expected) > 20 and any(x[6] == 0 for x in expected)
+    reads = []
+    for more in (1, 10):
+        wide = bench.unionByName(bench.selectExpr("item_id", "text").limit(0)) if more == 1 else bench.unionByName(spark.createDataFrame([(10_000 + i, f"only{i} " * 40) for i in range(200)], bench.schema))
+        table, seen = counted(df)
+        got = decontaminate.contamination(table, wide, block_bytes=10)
+        assert rows(got) == expected
+        reads.append(seen.value / len(texts))
+    assert reads[0] == reads[1] <= 3
+    assert decontaminate.contamination(docs(spark, []), bench, block_bytes=1).count() == 0
+
+
 # tokens
 
 JSONS = ["byte_bpe_50k.json", "word_bpe_49k.json"]

@@ -1,7 +1,7 @@
 """Token ids in binary: one wavelet matrix per shard, in one compressed file.
 
-File, little-endian: ``SWWM0002``; long n tokens, bits, documents, bits of a block, distinct tokens; the distinct
-tokens in order, whose places among themselves are what the planes hold; document ids; document starts (one more than
+File, little-endian: ``SWWM0003``; long n tokens, bits, documents, bits of a block, distinct tokens, documents without
+an id, which are the last; the distinct tokens in order, whose places among themselves are what the planes hold; document ids; document starts (one more than
 documents); for each plane from the highest bit down: long zeros in the plane, ones before each block, place of each
 block (one more than blocks). Then the blocks, zstandard-compressed bits. A reader loads the directory and opens only
 the blocks that a query touches.
@@ -18,22 +18,28 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import new_folder, parts_for, text_bytes, written
 from .tokens import encoder, groups
 
-MAGIC = b"SWWM0002"
+MAGIC = b"SWWM0003"
 #: Bits that are compressed, and worked on, at a time: few enough for a processor's cache.
 BLOCK_BITS = 1 << 16
 #: Bytes of text behind a partition, and the most tokens in one file.
 SHARD_BYTES = 12 << 20
 SHARD_TOKENS = 1 << 23
+#: Tokens that a task reads back.
+READ_TOKENS = 1 << 23
+_PARTS = 1024  # partitions whose tokens are summed up at once
 
 
-def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, block_bits: int = BLOCK_BITS) -> bytes:
-    """The file of a shard: ``ids`` of all its documents in a row; ``starts`` has each one's first place and the end."""
+def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, block_bits: int = BLOCK_BITS, nameless: int = 0) -> bytes:
+    """The file of a shard: ``ids`` of all its documents in a row; ``starts`` has each one's first place and the end.
+
+    The last ``nameless`` documents have no id, whatever ``doc_ids`` says of them.
+    """
     seen = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     alphabet = np.flatnonzero(seen)
     n, bits = len(ids), max(1, (len(alphabet) - 1).bit_length())
@@ -58,7 +64,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray, block_bits:
             zero, one = zero + len(low), one + len(high)
         planes.append(np.r_[zero, before, places].astype("<i8").tobytes())
         a[zero:] = ones[:one]
-    head = np.array([n, bits, len(doc_ids), block_bits, len(alphabet)], "<i8").tobytes()
+    head = np.array([n, bits, len(doc_ids), block_bits, len(alphabet), nameless], "<i8").tobytes()
     return b"".join([MAGIC, head, alphabet.astype("<i8").tobytes(), doc_ids.astype("<i8").tobytes(), starts.astype("<i8").tobytes(), *planes, *blocks])
 
 
@@ -69,7 +75,7 @@ class Shard:
         self.f = f
         if f.read(8) != MAGIC:
             raise ValueError("not a shard of token ids")
-        self.n, self.bits, docs, self.block_bits, distinct = (int(x) for x in self._longs(5))
+        self.n, self.bits, docs, self.block_bits, distinct, self.nameless = (int(x) for x in self._longs(6))
         self.alphabet = self._longs(distinct)
         self.doc_ids, self.starts = self._longs(docs), self._longs(docs + 1)
         blocks = -(-self.n // self.block_bits)
@@ -148,6 +154,11 @@ class Shard:
             i = self._find(p, one, i - self.zeros[p] if one else i)
         return i
 
+    def names(self) -> list[int | None]:
+        """The id of each document, or None."""
+        ids = self.doc_ids.tolist()
+        return ids[: len(ids) - self.nameless] + [None] * self.nameless
+
     def document(self, k: int) -> np.ndarray:
         """The ids of the k-th document, by access to its places alone."""
         return np.array([self.access(i) for i in range(int(self.starts[k]), int(self.starts[k + 1]))], np.uint32)
@@ -178,8 +189,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
 
     ``end_id`` follows each document. Returns the manifest, written beside them: file, part, seq (the shards' order),
     n_docs, n_tokens. Files have names of their own for each attempt and only those of the manifest count, so a task
-    that runs twice does no harm. A null text is empty, a null id comes last (it is kept as the greatest long); rows of
-    one id are in order of their text. An empty table gives no file.
+    that runs twice does no harm. A null text is empty, a null id comes last and stays null; rows of one id are in order
+    of a hash of their text, rows of neither one after the other. An empty table gives no file.
     """
     spark = docs.sparkSession
     parts = parts_for(spark, text_bytes(docs, text_col), shard_bytes)
@@ -195,7 +206,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
             nonlocal seq, ids, sizes, held
             name = f"{part:08d}-{seq:06d}-{uuid.uuid4().hex}.swm"
             with fs.open_output_stream(f"{root}/{name}") as out:
-                out.write(build(np.concatenate(ids), np.array(held, np.int64), np.r_[0, np.cumsum(sizes)]))
+                out.write(build(np.concatenate(ids), np.array([d or 0 for d in held], np.int64), np.r_[0, np.cumsum(sizes)], nameless=held.count(None)))
             row = [name, part, seq, len(held), int(sum(sizes))]
             ids, sizes, held, seq = [], [], [], seq + 1
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names)
@@ -211,7 +222,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
                     count += len(x) + 1
                     ids.append(np.append(x, end_id).astype(np.uint32))
                     sizes.append(len(x) + 1)
-                    held.append(np.iinfo(np.int64).max if doc is None else doc)
+                    held.append(doc)
         if held:
             yield flush()
 
@@ -224,15 +235,17 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, read back from the files of ``manifest``.
 
-    ``start`` counts the ids of all documents before it. The totals of the shards, one row for each file and so about
-    one for each task, are summed up on the driver.
+    ``start`` counts the ids of all documents before it; files are summed up by runs of partitions, and those by
+    themselves, so no task sees all files and none is listed on the driver.
     """
     spark = manifest.sparkSession
-    total, begin = 0, []
-    for r in manifest.select("file", "part", "seq", "n_tokens").orderBy("part", "seq").toLocalIterator():
-        begin.append((r.file, total))
-        total += r.n_tokens
-    plan = spark.createDataFrame(begin or [], "file string, begin long").repartition(max(1, len(begin)))
+    files = manifest.select("file", "part", "seq", "n_tokens", F.shiftright("part", _PARTS.bit_length() - 1).alias("run"))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = files.groupBy("run").agg(F.sum("n_tokens").alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    earlier = Window.partitionBy("run").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("own", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).join(runs, "run")
+    total = manifest.agg(F.sum("n_tokens")).first()[0] or 0
+    plan = placed.select("file", (F.col("base") + F.col("own")).alias("begin")).repartition(parts_for(spark, total, READ_TOKENS))
 
     def f(batches):
         fs, root = filesystem(folder)
@@ -242,7 +255,7 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     shard = Shard(io.BytesIO(file.read()))
                 ids = shard.tokens().astype("<u4")
                 crc = [zlib.crc32(ids[i:j]) for i, j in zip(shard.starts[:-1], shard.starts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids), pa.array(shard.starts[:-1] + base), pa.array(np.diff(shard.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.names(), pa.int64()), pa.array(shard.starts[:-1] + base), pa.array(np.diff(shard.starts)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return plan.mapInArrow(f, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -211,6 +211,8 @@ def test_near_duplicates_of_odd_rows(spark):
     assert by[None].component_id is None
     assert all(by[100 + k].component_id == by[k].component_id <= k for k in range(len(ODD)))
     assert by[0].fp == by[1].fp == by[2].fp == 0
+    several = simhash.near_duplicates(docs(spark, ["a b c d e", "a b c d e", "q r s t u v", "a b c d e"], [7, 7, 7, 3])).collect()
+    assert sorted((x.doc_id, x.component_id) for x in several) == [(3, 3), (7, 3), (7, 3), (7, 7)]
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
@@ -321,6 +323,8 @@ def test_counts_by_either_library(spark):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512)
         assert other[i].n_tokens == len(pieces.encode(t or ""))
+    twice = tokens.token_counts(docs(spark, ["a b", "c", "c", None], [None, 7, 7, None]), public_tokenizers.path(JSONS[0])).collect()
+    assert sorted(((x.doc_id, x.n_bytes) for x in twice), key=repr) == [(7, 1), (7, 1), (None, 0), (None, 3)]
     assert tokens.token_counts(docs(spark, []), public_tokenizers.path(JSONS[0])).count() == 0
 
 
@@ -359,6 +363,13 @@ def test_shards_are_read_back(spark):
         x = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         assert got[i] == (start, len(x), zlib.crc32(x))
         start += len(x)
+    odd = [(2**63 - 1, "a b"), (None, "c"), (None, "c"), (5, "x y z"), (5, "x"), (5, "x"), (None, None), (-1, "")]
+    made = wavelet.write_shards(docs(spark, [t for _, t in odd], [i for i, _ in odd]), path, folder, shard_tokens=3)
+    back = sorted(wavelet.read_shards(made, folder).collect(), key=lambda x: x.start)
+    sizes = lambda rows: sorted(((i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows), key=repr)
+    assert [x.doc_id for x in back] == [-1, 5, 5, 5, 2**63 - 1, None, None, None]
+    assert sorted(((x.doc_id, x.n_tokens) for x in back), key=repr) == sizes(odd)
+    assert [x.start for x in back] == np.cumsum([0, *(x.n_tokens for x in back[:-1])]).tolist()
     none = wavelet.write_shards(docs(spark, []), path, folder)
     assert none.count() == wavelet.read_shards(none, folder).count() == 0
 
@@ -397,6 +408,8 @@ def test_packing_loses_no_id(spark):
             assert x.offset == at
             at += x.length
         assert at <= 64
+    again = packing.pack(docs(spark, ["a b", "c", "c", None], [None, 7, 7, None]), public_tokenizers.path(JSONS[0])).collect()
+    assert sorted(((x.doc_id, x.length) for x in again), key=repr) == [(7, 2), (7, 2), (None, 1), (None, 3)]
     parts = {k >> 33 for k in by_seq}
     assert sum(sum(x.length for x in p) < 64 for p in by_seq.values()) <= len(parts)
     assert packing.pack(docs(spark, []), public_tokenizers.path(JSONS[0])).count() == 0

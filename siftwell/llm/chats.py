@@ -16,13 +16,13 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import parts_for, text_bytes, written
 
 _OUT = {"\\\\": "\\", "\\h": "###", "\\e": "</turn>", "\\c": ":"}
-_TURN = re.compile(r"### ([^:]*): ((?:(?!###|</turn>).)*)</turn>\n", re.S)
+_BEGIN, _END = "### ", "</turn>\n"
 PART_BYTES = 32 << 20
 #: Code points of examples that a task writes at once.
 BATCH_CHARS = 4 << 20
@@ -39,14 +39,15 @@ def unescape(text: str) -> str:
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted conversation or a part of one."""
-    out, at = [], 0
-    for m in _TURN.finditer(formatted):
-        if m.start() != at:
-            break
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
-    if at != len(formatted):
-        raise ValueError(f"not a turn at {at}: {formatted[at : at + 40]!r}")
+    out = []
+    *turns, rest = formatted.split(_END)
+    for t in turns:
+        role, colon, text = t[len(_BEGIN) :].partition(": ")
+        if not t.startswith(_BEGIN) or not colon or ":" in role or "###" in role or "###" in text or "</turn>" in t:
+            raise ValueError(f"not a turn: {t[:40]!r}")
+        out.append((unescape(role), unescape(text)))
+    if rest:
+        raise ValueError(f"not a turn: {rest[:40]!r}")
     return out
 
 
@@ -92,25 +93,24 @@ def format_chats(turns: DataFrame, trained: str = "assistant", part_bytes: int =
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
     schema = "conv_id long, part long, seq long, first boolean, seg long, text string, begin long, chars long, example long, trained boolean, loss_begin long, loss_end long"
     local = written(rows.mapInArrow(f, schema), "turns")
-    carried = spark.createDataFrame(_carried(local), "part long, seg0 long, begin0 long, example0 long")
-    on = local.join(carried, "part", "left")
+    on = local.join(_carried(local), "part", "left")
     more = lambda c: F.col(c) + F.when(F.col("first"), F.coalesce(F.col(c + "0"), F.lit(0))).otherwise(0)
     return on.select("conv_id", more("seg").alias("seg"), "text", more("begin").alias("begin"), F.when(F.col("trained"), more("example")).alias("example"), "loss_begin", "loss_end")
 
 
-def _carried(local: DataFrame) -> list[tuple[int, int, int, int]]:
-    """What a part's first conversation has in the parts before it: turns, code points, examples; a row for each task."""
-    last = F.max_by(F.struct("conv_id", "first", F.col("seg") + 1, F.col("begin") + F.col("chars"), F.col("example") + F.col("trained").cast("int")), "seq")
-    ends = local.groupBy("part").agg(F.min_by(F.struct("conv_id"), "seq").alias("head"), last.alias("tail")).orderBy("part").collect()
-    out, conv, held = [], None, (0, 0, 0)
-    for i, r in enumerate(ends):
-        goes_on = i > 0 and r["head"][0] == conv
-        if goes_on:
-            out.append((r["part"], *held))
-        tail = tuple(r["tail"])
-        held = tuple(a + (b if goes_on and tail[1] else 0) for a, b in zip(tail[2:], held, strict=True))
-        conv = tail[0]
-    return out
+def _carried(local: DataFrame) -> DataFrame:
+    """What each part's first conversation has in the parts before it: part, turns, code points, examples so far.
+
+    A conversation that goes on from a part is its last one, so the sums run over one row for each part.
+    """
+    last = F.max_by(F.struct("conv_id", (F.col("seg") + 1).alias("seg"), (F.col("begin") + F.col("chars")).alias("begin"), (F.col("example") + F.col("trained").cast("int")).alias("example")), "seq")
+    ends = local.groupBy("part").agg(F.min_by(F.struct("conv_id"), "seq").alias("head"), last.alias("tail"))
+    nothing = [F.lit(0).cast("long").alias(c) for c in ("seg", "begin", "example")]
+    heads = ends.select("part", F.lit(True).alias("head"), F.col("head.conv_id").alias("conv_id"), *nothing)
+    tails = ends.select("part", F.lit(False).alias("head"), "tail.conv_id", "tail.seg", "tail.begin", "tail.example")
+    before = Window.partitionBy("conv_id").orderBy("part", F.desc("head")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = heads.unionByName(tails).select("part", "head", *[F.sum(c).over(before).alias(f"{c}0") for c in ("seg", "begin", "example")])
+    return sums.filter("head").drop("head")
 
 
 def expanded(formatted: DataFrame) -> DataFrame:

@@ -112,17 +112,19 @@ def held_out(doc_id, folds: int = FOLDS):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Learn from at most ``sample`` rows of each language, none of them held out; every label is learned.
 
-    The sample is the rows of least hash of id and text, so it is the same however the table is dealt out. Its bit
-    vectors of 4 KB are written in the shared folder; the driver holds the landmarks and reads the others a part at a
-    time. None if no row has both a label and letters.
+    The sample is the rows of least hash of id and text, so it is the same however the table is dealt out. Each
+    language's rows are counted first; only those with a hash among the least ``2 * sample`` or so are ranked, so no
+    task sees all of a language. Repeated rows are learned from once. The sample's bit vectors of 4 KB are written in
+    the shared folder; the driver holds the landmarks and reads the others a part at a time. None if no row has both a
+    label and letters.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
-    least = rows.select("lang", "h", "doc_id").withColumn("salt", F.pmod("doc_id", F.lit(16)))
-    for key in (["lang", "salt"], ["lang"]):  # a language may have most rows: first in 16 parts, then the best of those
-        order = Window.partitionBy(*key).orderBy("h", "doc_id")
-        least = least.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).drop("rank")
-    keys = written(least.select("lang", "h").distinct(), "sample")  # its size tells whether it can be broadcast
+    sizes = written(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "sizes")
+    below = F.lit(-(2.0**63)) + F.lit(2.0**64) * 2 * sample / F.col("n")
+    few = rows.select("lang", "h").join(sizes, "lang").filter((F.col("n") <= sample) | (F.col("h") < below)).select("lang", "h").distinct()
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    keys = written(ranked.filter(F.col("rank") <= sample).select("lang", "h"), "sample")  # its size tells whether it can be broadcast
     chosen = rows.join(keys, ["lang", "h"], "left_semi")
 
     def f(batches):

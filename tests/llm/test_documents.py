@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import pytest
 import public_tokenizers
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -451,6 +452,68 @@ def test_every_label_is_learned(spark, monkeypatch, marks):
     assert table.count() == language.predict(table, model).filter("lang = lang_pred").count()
 
 
+def plain_set(text):
+    """The hashed n-grams of one to four bytes, one by one; runs of other than letters are a space."""
+    b = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text).encode())
+    out = set()
+    for n in (1, 2, 3, 4):
+        for i in range(len(b) - n + 1):
+            code = int.from_bytes(b[i : i + n], "big")
+            h = (code ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+            out.add(((h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF) >> 17)
+    return out
+
+
+def test_model_is_plain_kernel_ridge_regression(spark):
+    """The kernel pair by pair, the Nystroem map by a square root, the ridge by least squares over all rows at once."""
+    r = random.Random(31)
+    vocabulary = {"de": "der die und katze straße über".split(), "en": "the cat and street over with".split(), "fr": "le chat et la été où".split()}
+    say = lambda k: " ".join(r.choice(vocabulary[k] + vocabulary["en"][:2]) for _ in range(r.randint(2, 9)))
+    rows = [(k, say(k)) for _ in range(60) for k in vocabulary]
+    table = docs(spark, [t for _, t in rows], lang=[k for k, _ in rows])
+    model = language.fit(table, sample=30)
+    hashed = table.select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    learned = {k: sorted((x.h, x.text) for x in hashed if x.lang == k and zlib.crc32(str(x.doc_id).encode()) % 5) for k in vocabulary}
+    sample = [(k, plain_set(t), h) for k, v in sorted(learned.items()) for h, t in v[:30]]
+    bits = lambda s: np.packbits(np.isin(np.arange(1 << 15), list(s))).tobytes()
+    marks = [s for k in sorted(vocabulary) for _, _, s in sorted((h, bits(s), s) for l, s, h in sample if l == k)[: language.LANDMARKS]]
+    kernel = lambda a, b: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    good = values > values.max() * 1e-6
+    root = vectors[:, good] / np.sqrt(values[good])
+    phi = kernel([s for _, s, _ in sample], marks) @ root
+    y = np.array([[1.0 if k == l else -1.0 for l in sorted(vocabulary)] for k, _, _ in sample])
+    n, d = phi.shape
+    ridge = np.sqrt(language.RIDGE * n) * np.c_[np.eye(d), np.zeros(d)]
+    w = np.linalg.lstsq(np.r_[np.c_[phi, np.ones(n)], ridge], np.r_[y, np.zeros((d, len(vocabulary)))], rcond=None)[0]
+    texts = [say(k) for _ in range(30) for k in vocabulary] + ["xyz", "Straße ÉTÉ 12"]
+    scores = np.c_[kernel([plain_set(t) for t in texts], marks) @ root, np.ones(len(texts))] @ w
+    got = language.predict(docs(spark, texts), model).orderBy("doc_id").collect()
+    soft = np.exp(4 * scores) / np.exp(4 * scores).sum(1, keepdims=True)
+    sure = np.sort(soft, 1)[:, -1] - np.sort(soft, 1)[:, -2] > 1e-2
+    assert sure.mean() > 0.8
+    assert [x.lang_pred for x, s in zip(got, sure, strict=True) if s] == [sorted(vocabulary)[k] for k, s in zip(scores.argmax(1), sure, strict=True) if s]
+    assert np.allclose([x.score for x in got], soft.max(1), atol=5e-3)
+
+
+def test_the_sample_is_the_least_hashes_of_each_language(spark):
+    rows = [("en", f"some words {i}") for i in range(3000)] + [("de", f"wörter {i}") for i in range(40)] + [("en", "one row")] * 2000
+    table = docs(spark, [t for _, t in rows], [*range(3040), *[9] * 2000], lang=[k for k, _ in rows]).repartition(7)
+    seen = []
+    real = language.Model
+
+    def model(marks, langs, samples):
+        seen.extend(samples)
+        return real(marks, langs, iter(seen))
+
+    language.Model = model
+    try:
+        language.fit(table, sample=50)
+    finally:
+        language.Model = real
+    assert sorted(k for k, _ in seen).count("en") == 50 and 25 <= sorted(k for k, _ in seen).count("de") <= 40
+
+
 def test_presence_of_long_texts_is_that_of_whole_texts(monkeypatch):
     data = np.frombuffer("Über den Wolken, 123 muss die Freiheit".encode() * 9, np.uint8)
     whole, parts = np.zeros(1 << language.BITS), np.zeros(1 << language.BITS)

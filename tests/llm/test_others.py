@@ -261,8 +261,23 @@ def test_formatting_is_reversible():
         turns = [("".join(r.choice(parts) for _ in range(r.randint(0, 3))), "".join(r.choice(parts) for _ in range(r.randint(0, 9)))) for _ in range(4)]
         whole = "".join(f"### {chats.escape(a, True)}: {chats.escape(b)}</turn>\n" for a, b in turns)
         assert chats.parse(whole) == turns
-    with pytest.raises(ValueError):
-        chats.parse("### a: b")
+    for broken in ("### a: b", "### a: b</turn>", "a: b</turn>\n", "### a b</turn>\n", "### a: b</turn>\nx", "### a: ### b: c</turn>\n", "### a: b</turn>c</turn>\n", "### a:b: c</turn>\n"):
+        with pytest.raises(ValueError):
+            chats.parse(broken)
+
+
+def test_very_long_turns_take_little_more_than_themselves(spark):
+    import tracemalloc
+
+    text = "word ### \\ </turn> " * 1_000_000  # 19 MB
+    whole = f"### user: {chats.escape(text)}</turn>\n### assistant: ok</turn>\n"
+    tracemalloc.start()
+    assert chats.parse(whole) == [("user", text), ("assistant", "ok")]
+    assert tracemalloc.get_traced_memory()[1] < 30 * len(whole)  # unescape's pieces
+    tracemalloc.stop()
+    df = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    (got,) = chats.digests(chats.format_chats(df)).collect()
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
 
 
 ROWS = [

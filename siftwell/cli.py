@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from .operators.duplicates import top_extensions
 from .plans.engine import run_dedupe
+from .session import session
 
 log = logging.getLogger("siftwell")
 
@@ -34,20 +35,38 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ignore-old-collisions", action="store_true")
     p.add_argument("--dedupe-empty", action="store_true", help="count empty files as duplicates")
     p.add_argument("--dry-run", action="store_true", help="show what would be done")
-    p.add_argument("--walk-threads", type=int, default=4)
-    p.add_argument("--read-threads", type=int, default=8)
-    p.add_argument("--copy-threads", type=int, default=8, help="tasks that copy or delete")
+    p.add_argument("--walk-threads", type=int, default=4, help="threads of the driver that look for directories")
+    p.add_argument("--read-threads", type=int, default=8, help="files that all tasks of an executor core read at once, one at least")
+    p.add_argument("--copy-threads", type=int, help="tasks that copy or delete; by default by the cluster and the bytes")
+    p.add_argument("--time-zone", help="of mtime rules; by default this machine's")
+    p.add_argument("--suffix-conflicts", action="store_true", help="files that go to one destination get their hash in the name")
     p.add_argument("--hash-algo", choices=("md5", "xxh64"), default="md5")
     p.add_argument("--convert-manifest-paths-from", default="")
     p.add_argument("--convert-manifest-paths-to", default="")
     loud = p.add_mutually_exclusive_group()
-    for flag in ("quiet", "verbose", "debug"):
-        loud.add_argument(f"--{flag}", action="store_true")
+    for flags in (("-q", "--quiet"), ("-v", "--verbose"), ("--debug",)):
+        loud.add_argument(*flags, action="store_true")
     p.add_argument("--no-color", action="store_true")
-    p.add_argument("--ui", action=argparse.BooleanOptionalAction, default=sys.stdout.isatty())
+    p.add_argument("--ui", action=argparse.BooleanOptionalAction, default=sys.stdout.isatty(), help="show the progress of running stages")
     return p
 
 
+class _Colored(logging.Formatter):
+    """The level in color."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        color = {logging.ERROR: 31, logging.WARNING: 33}.get(record.levelno, 32)
+        return f"\x1b[{color}m{record.levelname}\x1b[0m {record.getMessage()}"
+
+
+def _logging(a: argparse.Namespace) -> None:
+    handler = logging.StreamHandler()
+    colored = not a.no_color and sys.stderr.isatty()
+    handler.setFormatter(_Colored() if colored else logging.Formatter("%(levelname)s %(message)s"))
+    logging.basicConfig(handlers=[handler])
+    log.setLevel(logging.DEBUG if a.debug or a.verbose else logging.WARNING if a.quiet else logging.INFO)
+
+
 def _checked(p: argparse.ArgumentParser, a: argparse.Namespace) -> None:
     if not a.read_path and not a.no_walk and not a.verify:
         p.error("one of -p/--read-path and --no-walk is needed")
@@ -62,9 +81,9 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
     p = parser()
     a = p.parse_args(argv)
     _checked(p, a)
-    level = logging.DEBUG if a.debug or a.verbose else logging.WARNING if a.quiet else logging.INFO
-    logging.basicConfig(format="%(levelname)s %(message)s")
-    log.setLevel(level)
+    _logging(a)
+    spark = spark or session(**{"spark_ui_showConsoleProgress": str(a.ui and not a.quiet).lower()})
+    zone = a.time_zone or spark.sparkContext._jvm.java.util.TimeZone.getDefault().getID()
     try:
         out = run_dedupe(
             a.read_path or None,
@@ -88,7 +107,11 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
             dry_run=a.dry_run,
             min_delete_size=a.min_delete_size,
             verify_manifest=a.verify,
+            walk_threads=a.walk_threads,
+            read_threads=max(1, a.read_threads // max(1, spark.sparkContext.defaultParallelism)),
             copy_threads=a.copy_threads,
+            suffix_conflicts=a.suffix_conflicts,
+            time_zone=zone,
             spark=spark,
         )
     except ValueError as e:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import errno
 
-# Advice for each kind of failure.
+# How the advice for each kind of failure begins.
+_FIRST = {"permission": "Check file permissions", "missing": "File may have been deleted", "space": "Destination disk is full", "io": "Check disk health"}
 _ADVICE = {
-    "permission": ("Check file permissions", "Ensure you have read access to source files", "Ensure you have write access to destination"),
-    "missing": ("File may have been deleted during processing", "Check if path is on a network share that disconnected", "Check if path is a broken symbolic link"),
-    "space": ("Destination disk is full", "Free up space or choose a different destination"),
-    "io": ("Check disk health and connection", "For network paths, verify network stability"),
+    "permission": f"{_FIRST['permission']}: the executors' user must be able to read the source and to write the target",
+    "missing": f"{_FIRST['missing']} or moved since the scan, or its mount is gone on this executor",
+    "space": f"{_FIRST['space']}: make room there, or copy to another folder",
+    "io": f"{_FIRST['io']}, and the mount if it is a share",
 }
 
 
@@ -26,5 +27,5 @@ def kind_of(error: str | Exception) -> str | None:
 
 def error_message(path: str, error: str | Exception) -> str:
     name = type(error).__name__ if isinstance(error, Exception) else "Error"
-    advice = _ADVICE.get(kind_of(error) or "", ())
-    return f"Error processing {path!r}: [{name}] {error}" + (f"\n  Suggestions: {'; '.join(advice)}" if advice else "")
+    advice = _ADVICE.get(kind_of(error) or "")
+    return f"Error processing {path!r}: [{name}] {error}" + (f"\n  Suggestions: {advice}" if advice else "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,23 +48,23 @@ def hash_file(path: str, algorithm: str = "md5") -> str:
     return h.hexdigest()
 
 
-def hash_files(found: DataFrame, algorithm: str = "md5") -> DataFrame:
+def hash_files(found: DataFrame, algorithm: str = "md5", threads: int = 1) -> DataFrame:
     """``found`` (path, size, mtime) with ``hash`` and ``error``; a file that can't be read is a row with an error.
 
-    Put filters and anti-joins before it: Spark moves none of them below a Python operator.
+    A task reads ``threads`` files at once. Put filters and anti-joins before it: Spark moves none of them below a Python operator.
     """
     check_algorithm(algorithm)
 
+    def one(path: str) -> tuple[str | None, str | None]:
+        try:
+            return hash_file(path, algorithm), None
+        except OSError as e:
+            return None, f"{type(e).__name__}: {e}"
+
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hashes, errors = [], []
-            for p in b["path"]:
-                try:
-                    hashes.append(hash_file(p, algorithm))
-                    errors.append(None)
-                except OSError as e:
-                    hashes.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"hash": hashes, "size": b["size"], "mtime": b["mtime"], "path": b["path"], "error": errors})
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                got = list((pool.map if threads > 1 else map)(one, b["path"]))
+                yield pd.DataFrame({"hash": [h for h, _ in got], "size": b["size"], "mtime": b["mtime"], "path": b["path"], "error": [e for _, e in got]})
 
     return found.select("path", "size", "mtime").mapInPandas(f, "hash string, size long, mtime double, path string, error string")

@@ -37,10 +37,11 @@ def below(path: Column, roots: Sequence[str]) -> Column:
 
 
 def moved_prefix(path: Column, old: str, new: str, anywhere: bool = False) -> Column:
-    """The path with ``old`` at its start (or, ``anywhere``, where it first occurs) replaced by ``new``."""
+    """The path with ``old`` at its start, by whole components (or, ``anywhere``, where it first occurs), replaced by ``new``."""
     if not old:
         return F.concat(F.lit(new), path)
     if anywhere:
         at = F.instr(path, old)
         return F.when(at > 0, F.concat(F.substring(path, F.lit(1), at - 1), F.lit(new), path.substr(at + len(old), F.length(path)))).otherwise(path)
-    return F.when(path.startswith(old), F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 30))).otherwise(path)
+    whole = path.startswith(old) if old.endswith("/") else (path == old) | path.startswith(f"{old}/")
+    return F.when(whole, F.concat(F.lit(new), F.substring(path, len(old) + 1, 1 << 30))).otherwise(path)

@@ -35,14 +35,14 @@ def parse_rules(rules: Sequence[str]) -> list[tuple[str, list[str]]]:
 def best_pattern(patterns: Sequence[str], ext: str) -> str | None:
     """The pattern that says most about an extension: itself, else the glob nearest to it in length without wildcards.
 
-    Of globs equally near, the last one given is taken.
+    Of globs equally near, the first one given is taken, but the last of all that fit if none is nearer than that.
     """
     wanted = f".{ext}"
     if wanted in patterns:
         return wanted
     fit = [p for p in patterns if fnmatch.fnmatch(wanted, p)]
     distance = lambda p: abs(len(p.replace("?", "").replace("*", "")) - len(wanted))
-    return min(reversed(fit), key=distance) if fit else None
+    return min([*fit[-1:], *fit], key=distance) if fit else None
 
 
 def destination(target: str, roots: Sequence[str], rules: Sequence[str], path: Column, mtime: Column, files: DataFrame | None = None) -> Column:
@@ -90,6 +90,7 @@ def _by_length(parsed: dict[str, list[str]], ext: Column, whole) -> Column:
     fits = []
     for i, (p, names) in enumerate(parsed.items()):
         far = F.when(wanted == p, F.lit(-1)).otherwise(F.abs(F.lit(len(p.replace("?", "").replace("*", ""))) - length))
-        fits.append(F.when((wanted == p) | wanted.rlike(glob_regex(p)), F.struct(far.alias("far"), F.lit(-i).alias("order"), whole(names).alias("dest"))))
-    best = F.array_min(F.filter(F.array(*fits), lambda x: x.isNotNull()))
-    return F.coalesce(best["dest"], whole(["no_change"]))
+        fits.append(F.when((wanted == p) | wanted.rlike(glob_regex(p)), F.struct(far.alias("far"), F.lit(i).alias("order"), whole(names).alias("dest"))))
+    fit = F.filter(F.array(*fits), lambda x: x.isNotNull())
+    best, last = F.array_min(fit), F.element_at(fit, -1)
+    return F.when(F.size(fit) == 0, whole(["no_change"])).when(last["far"] == best["far"], last["dest"]).otherwise(best["dest"])

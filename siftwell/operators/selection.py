@@ -84,13 +84,19 @@ def transfer_plan(files: DataFrame, target: str, roots: Sequence[str], rules: Se
 
 
 def with_conflicts(plan: DataFrame, suffix: bool = False) -> DataFrame:
-    """Plan rows that go to one destination: all but the least path become errors, or get their hash in the name."""
+    """Plan rows that go to one destination: all but the least path become errors, or get their hash in the name.
+
+    Of several of one hash, all but the least get a part of their path's md5 as well.
+    """
     to = plan.filter(F.col("dest").isNotNull())
     crowded = to.groupBy("dest").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_first")).filter("_n > 1").select("dest", "_first")
     out = plan.join(crowded, "dest", "left").withColumn("_late", F.coalesce(F.col("path") != F.col("_first"), F.lit(False)))
     if suffix:
         ext = F.regexp_extract("dest", r"(?s)\A(?:.*/)?\.*[^/.][^/]*(\.[^./]*)\z", 1)
-        named = F.concat(F.substring("dest", F.lit(1), F.length("dest") - F.length(ext)), F.lit("-"), F.col("hash"), ext)
+        alike = out.filter("_late").groupBy("dest", "hash").agg(F.count(F.lit(1)).alias("_n"), F.min("path").alias("_least")).filter("_n > 1").select("dest", "hash", "_least")
+        out = out.join(alike, ["dest", "hash"], "left")
+        more = F.when(F.col("path") > F.col("_least"), F.concat(F.lit("-"), F.substring(F.md5("path"), 1, 16))).otherwise("")
+        named = F.concat(F.substring("dest", F.lit(1), F.length("dest") - F.length(ext)), F.lit("-"), F.col("hash"), more, ext)
         return out.withColumn("dest", F.when(F.col("_late"), named).otherwise(F.col("dest"))).select(*ACTIONS.names)
     late = {"action": F.when(F.col("_late"), "error").otherwise(F.col("action")), "reason": F.when(F.col("_late"), "another file goes to this destination").otherwise(F.col("reason"))}
     return out.withColumns(late).select(*ACTIONS.names)

@@ -2,8 +2,9 @@
 
 The plan is written to a table first: what it reads may change while it runs. A copy goes to a temporary name in the
 destination directory, is checked, and then renamed, so a task that runs twice does no harm. A source is removed only
-after its own copy has been checked. Removing what is already gone counts as done only if the row's own destination
-is there.
+after its own copy has been checked. What is deleted is looked at once more: a file that is no longer what was scanned
+stays. A file that is already gone, from a directory that is there, counts as deleted (an earlier attempt of the
+task did it); one to be moved only if its own destination is there.
 """
 
 from __future__ import annotations
@@ -65,15 +66,30 @@ def act(action: str, path: str, dest: str | None, size: int, keep_stat: bool = F
         if os.path.exists(dest) and os.path.samefile(path, dest):
             raise OSError("source and destination are one file")
         _copied(path, dest, keep_stat, algorithm, expected)
+    if action == "delete":
+        if not os.path.lexists(path) and os.path.isdir(os.path.dirname(path)):
+            return
+        if os.path.getsize(path) != size or algorithm and expected and hash_file(path, algorithm) != expected:
+            raise OSError(f"{path} is no longer what was scanned")
     if action in ("move", "delete"):
         os.remove(path)
 
 
-def execute(plan: DataFrame, dry_run: bool = False, keep_stat: bool = False, check_with: str | None = None, partitions: int = 8) -> DataFrame:
-    """RESULTS of all rows of ``plan`` (ACTIONS), settled. With ``dry_run`` nothing is touched and ``ok`` is null."""
+#: Bytes that a task copies, or looks at before it deletes them.
+TASK_BYTES = 1 << 30
+
+
+def execute(plan: DataFrame, dry_run: bool = False, keep_stat: bool = False, check_with: str | None = None, partitions: int | None = None) -> DataFrame:
+    """RESULTS of all rows of ``plan`` (ACTIONS), settled. With ``dry_run`` nothing is touched and ``ok`` is null.
+
+    Without ``partitions`` there are as many tasks as the cluster runs at once, or as the plan's bytes call for.
+    """
     plan = settled(plan.select(*ACTIONS.names))
     if dry_run:
         return plan.withColumns({"ok": F.lit(None).cast("boolean"), "error": F.lit(None).cast("string")})
+    if not partitions:
+        total = plan.filter("action IN ('copy', 'move', 'delete')").agg(F.sum("size")).first()[0] or 0
+        partitions = max(plan.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES))
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

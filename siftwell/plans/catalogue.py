@@ -13,6 +13,7 @@ from ..functions.hashing import hash_column
 from ..functions.paths import year_month
 from ..functions.rules import destination
 from ..operators import duplicates, records, selection
+from .report import report_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -243,7 +244,7 @@ _dest("dest_mtime", ["*:mtime"], f"{_YM} || '/' || {_NAME}")
 _dest("dest_extension", ["*:extension"], f"'/' || {_EXT_SQL} || '/' || {_NAME}")
 _dest("dest_no_change", ["*:no_change"], f"{_INNER} || '/' || {_NAME}")
 _dest("dest_combined", ["*:extension", "*:mtime", "*:no_change"], f"'/' || {_EXT_SQL} || {_YM} || {_INNER} || '/' || {_NAME}")
-_dest("dest_best_match", ["*.j*:no_change", "*.jp*:mtime", "*.jpg:extension", "gz:mtime"], f"CASE {_EXT_SQL} WHEN 'jpg' THEN '/jpg' WHEN 'gz' THEN {_YM} ELSE {_INNER} END || '/' || {_NAME}")
+_dest("dest_best_match", ["*.j*:no_change", "*.jp*:mtime", "*.jpg:extension", "gz:mtime", "*.tm?:extension", "*.t?p:mtime", "*.*:no_change"], f"CASE {_EXT_SQL} WHEN 'jpg' THEN '/jpg' WHEN 'tmp' THEN '/tmp' WHEN 'gz' THEN {_YM} ELSE {_INNER} END || '/' || {_NAME}")
 
 
 @_query("dest_conflicts", ", r AS (SELECT doc_id, '/out/f' || CAST(doc_id % 97 AS VARCHAR) AS dest, path FROM files) SELECT path, dest, CASE WHEN path = min(path) OVER (PARTITION BY dest) THEN 'copy' ELSE 'error' END AS action FROM r")
@@ -252,6 +253,24 @@ def _(files):
     return selection.with_conflicts(plan).select("path", "dest", "action")
 
 
+@_query("dest_suffixed", ", r AS (SELECT *, CASE WHEN size = 0 THEN '/out/e.x' ELSE '/out/f' || CAST(doc_id % 97 AS VARCHAR) || '.x' END AS dest FROM files), l AS (SELECT *, path > min(path) OVER (PARTITION BY dest) AS late FROM r), n AS (SELECT *, path > min(path) OVER (PARTITION BY dest, hash, late) AS again FROM l) SELECT path, CASE WHEN late THEN replace(dest, '.x', '-' || hash || CASE WHEN again THEN '-' || md5(path)[1:16] ELSE '' END || '.x') ELSE dest END AS dest FROM n", empties=True)
+def _(files):
+    to = F.when(F.col("size") == 0, "/out/e.x").otherwise(F.concat(F.lit("/out/f"), (F.col("doc_id") % 97).cast("string"), F.lit(".x")))
+    plan = files.select(F.lit("copy").alias("action"), "path", to.alias("dest"), "hash", "size", F.lit(None).cast("string").alias("reason"))
+    return selection.with_conflicts(plan, suffix=True).select("path", "dest")
+
+
+@_query("hash_union", "SELECT hash FROM files WHERE path LIKE '%.jpg' UNION SELECT hash FROM files WHERE path LIKE '%.txt'")
+def _(files):
+    return selection.hashes(files.filter("path LIKE '%.jpg'"), files.filter("path LIKE '%.txt'"))
+
+
+@_query("report_lines", "SELECT concat_ws(', ', CAST(dense_rank() OVER (ORDER BY hash) AS VARCHAR), hash, chr(39) || path || chr(39), CAST(size AS VARCHAR)) AS line FROM files WHERE hash IN (SELECT hash FROM files GROUP BY hash HAVING count(*) > 1)")
+def _(files):
+    lines = report_lines(duplicates.known_collisions(_plain(files)))
+    return lines.select(F.regexp_replace("line", ", [^,]*$", "").alias("line"))
+
+
 @_query("manifest_union", "SELECT hash, path, size, mtime FROM files WHERE NOT path LIKE '%.jpg' UNION SELECT hash, path, size, mtime FROM files WHERE NOT path LIKE '%.txt'")
 def _(files):
     return records.union_files(_plain(files.filter("path NOT LIKE '%.jpg'")), _plain(files.filter("path NOT LIKE '%.txt'"))).select("hash", "path", "size", "mtime")
@@ -268,7 +287,7 @@ def _(files):
     return records.move_paths(_plain(files), moved).select("hash", "path")
 
 
-@_query("convert_paths", "SELECT hash, CASE WHEN starts_with(path, '/corpus/src1') THEN '/else' || substr(path, 13) ELSE path END AS path FROM files")
+@_query("convert_paths", "SELECT hash, CASE WHEN starts_with(path, '/corpus/src1/') THEN '/else' || substr(path, 13) ELSE path END AS path FROM files")
 def _(files):
     return records.convert_paths(_plain(files), "/corpus/src1", "/else").select("hash", "path")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from ..operators import duplicates, records, selection
 from ..schemas import FILES
 from ..session import session
 from ..sources import manifest as store
-from ..sources.walk import walk
+from ..sources.walk import walk_rows
 from .actions import counters, execute, settled
 from .report import write_report
 
@@ -40,19 +41,25 @@ def _listed(value: str | Sequence[str] | None) -> list[str]:
     return [value] if isinstance(value, str) else list(value or ())
 
 
-def scan(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str] | None = None, ignore: Sequence[str] = (), read: DataFrame | None = None, hash_algo: str = "md5") -> DataFrame:
-    """Walk, drop what was read before, and hash: rows of FILES with ``error``, settled."""
-    found = walk(spark, roots, extensions, ignore)
-    failed = found.filter(F.col("error").isNotNull()).select(F.lit(None).cast("string").alias("hash"), "size", "mtime", "path", "error")
-    good = found.filter(F.col("error").isNull()).select("path", "size", "mtime")
+def scan(spark: SparkSession, roots: Sequence[str], extensions: Sequence[str] | None = None, ignore: Sequence[str] = (), read: DataFrame | None = None, hash_algo: str = "md5", walk_threads: int = 4, read_threads: int = 1, counts: dict[str, int] | None = None) -> DataFrame:
+    """Walk, drop what was read before, and hash: rows of FILES with ``error``, settled.
+
+    ``counts`` gets how many directories were entered, and how many files were accepted and ignored (or excluded).
+    """
+    found = settled(walk_rows(spark, roots, extensions, ignore, walk_threads))
+    failed = found.filter("kind = 'error'").select(F.lit(None).cast("string").alias("hash"), "size", "mtime", "path", "error")
+    good = found.filter("kind = 'file'").select("path", "size", "mtime")
+    if counts is not None:
+        kinds = {r.kind: r.n for r in found.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # five kinds
+        counts |= {"directories": kinds.get("directory", 0), "accepted": kinds.get("file", 0), "ignored": kinds.get("ignored", 0) + kinds.get("excluded", 0)}
     if read is not None:
         good = selection.unread(good, read)
     partitions = spark.sparkContext.defaultParallelism * 4
-    return settled(hash_files(good.repartition(partitions), hash_algo).unionByName(failed))
+    return settled(hash_files(good.repartition(partitions), hash_algo, read_threads).unionByName(failed))
 
 
 def _check(roots, inputs, output, compare, copy_to, delete, no_walk, rules) -> None:
-    if output and any(os.path.abspath(output) == os.path.abspath(i) for i in [*inputs, *compare]):
+    if output and any(store.same_place(output, i) for i in [*inputs, *compare]):
         raise ValueError("the output manifest must be another than those that are read or compared with")
     if no_walk and not inputs:
         raise ValueError("without a walk an input manifest is needed")
@@ -88,17 +95,22 @@ def run_dedupe(
     min_delete_size: int = 0,
     verify_manifest: bool = False,
     walk_threads: int = 4,
-    read_threads: int = 8,
-    copy_threads: int = 8,
-    use_ui: bool = False,
+    read_threads: int = 1,
+    copy_threads: int | None = None,
     suffix_conflicts: bool = False,
+    time_zone: str | None = None,
     spark: SparkSession | None = None,
 ) -> Outcome:
-    """One run with the options of the command line. Thread counts only set how many tasks copy or delete.
+    """One run with the options of the command line.
 
-    Nothing on disk changes on a dry run, the output manifest included.
+    ``walk_threads`` look for directories on the driver, ``read_threads`` read files in each task, ``copy_threads`` is
+    how many tasks copy or delete (by default as the cluster and the plan's bytes call for). ``time_zone`` is that of
+    ``mtime`` rules, by default the session's. Nothing on disk changes on a dry run, the output manifest included.
     """
     spark = spark or session()
+    began = time.monotonic()
+    if time_zone:
+        spark.conf.set("spark.sql.session.timeZone", time_zone)
     roots = [os.path.abspath(r) for r in _listed(read_from_path)]
     inputs, compare_paths = _listed(manifests_in_paths), _listed(compare_manifests)
     rules, ignore = list(path_rules or ()), list(ignored_patterns or ())
@@ -123,18 +135,22 @@ def run_dedupe(
     if verify_manifest:
         return _verify(spark, old)
 
-    errors = None
+    errors, met = None, {}
     if no_walk:
         files, read = settled(old), known.read
         collided = duplicates.known_collisions(files)
     else:
-        rows = scan(spark, roots, extensions, ignore, known.read, hash_algo)
+        log.debug("walking and reading %s", roots)
+        rows = scan(spark, roots, extensions, ignore, known.read, hash_algo, walk_threads, read_threads, met)
         errors = rows.filter(F.col("error").isNotNull()).select("path", "error")
         new = rows.filter(F.col("error").isNull()).select(*FILES.names)
         files = settled(new.unionByName(old.select(*FILES.names)))
         read = known.read.unionByName(new.select("path")).distinct()
         collided = duplicates.collisions(new, old, dedupe_empty, ignore_old_collisions)
-    outcome = Outcome(files, collided, errors, counts=_scan_counts(files, errors))
+    outcome = Outcome(files, collided, errors, counts=met | _scan_counts(files, errors))
+    if met:
+        took = max(time.monotonic() - began, 1e-3)
+        log.info("read in %.1f s: %.1f files a second", took, met["accepted"] / took)
     if csv_report_path:
         write_report(collided, csv_report_path, roots, hash_algo)
 
@@ -144,7 +160,7 @@ def run_dedupe(
         outcome.results = execute(selection.with_conflicts(plan, suffix_conflicts), dry_run, preserve_stat, hash_algo, copy_threads)
     elif delete_duplicates:
         plan = selection.delete_plan(files, blocked, min_delete_size, dedupe_empty, extensions, ignore, roots)
-        outcome.results = execute(plan, dry_run, partitions=copy_threads)
+        outcome.results = execute(plan, dry_run, check_with=hash_algo, partitions=copy_threads)
     if outcome.results is not None:
         outcome.counts |= counters(outcome.results)
         if not dry_run:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.hashing import hash_files
-from ..operators.records import union_files
 from ..operators.selection import unread
 from ..plans.actions import settled
 from ..schemas import FILES
@@ -13,18 +12,17 @@ from ..sources import manifest as store
 
 
 def ingest_batch(found: DataFrame, manifest_path: str, hash_algo: str = "md5") -> int:
-    """Hash what the manifest hasn't read yet, and save a new version; how many files were added.
+    """Hash what the manifest hasn't read yet, and append it; how many files were added. What is there isn't written again.
 
     ``found`` has path, size, mtime, and hash if contents are hashed already. A batch that comes twice adds nothing.
     """
     spark = found.sparkSession
-    known = store.load(spark, manifest_path) if store.exists(manifest_path) else store.empty(spark, hash_algo)
+    known = store.load(spark, manifest_path) if store.exists(spark, manifest_path) else store.empty(spark, hash_algo)
     new = unread(found.dropDuplicates(["path"]), known.read)
     rows = settled((new if "hash" in new.columns else hash_files(new, hash_algo).filter("error IS NULL")).select(*FILES.names))
     added = rows.count()
     if added:
-        files = union_files(known.files.select(*FILES.names), rows)
-        store.save(store.Manifest(files, known.read.unionByName(rows.select("path")), hash_algo), manifest_path)
+        store.append(store.Manifest(rows, rows.select("path"), hash_algo), manifest_path)
     return added
 
 

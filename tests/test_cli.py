@@ -44,6 +44,38 @@ def test_run_verify_and_explore(spark, tmp_path):
     assert main(["--verify", "-i", m, "--quiet"], spark) == 1
 
 
+def test_sqlite_and_counters(spark, tmp_path):
+    import pickle
+    import sqlite3
+
+    with sqlite3.connect(tmp_path / "m.db") as db:
+        db.execute("CREATE TABLE t (key BLOB PRIMARY KEY, hash INTEGER, value BLOB)")
+        db.execute("INSERT INTO t VALUES (?, 0, ?)", ("c" * 32, pickle.dumps([("/a", 3, 1.5), ("/b", 3, 2.5)])))
+    assert main(["--no-walk", "-i", str(tmp_path / "m.db"), "-m", str(tmp_path / "n"), "-q"], spark) == 0
+    assert store.load(spark, str(tmp_path / "n")).files.count() == 2
+    (tmp_path / "junk").write_text("x")
+    with pytest.raises(SystemExit) as e:
+        main(["--no-walk", "-i", str(tmp_path / "junk"), "-q"], spark)
+    assert e.value.code == 2
+    from siftwell import run_dedupe
+
+    for name in ("s/a.txt", "s/d/b.txt", "s/d/c.jpg", "s/skip/x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    out = run_dedupe(str(tmp_path / "s"), ["txt"], ignored_patterns=["*/skip"], spark=spark)
+    assert {k: out.counts[k] for k in ("directories", "accepted", "ignored", "files")} == {"directories": 2, "accepted": 2, "ignored": 2, "files": 2}
+
+
+def test_first_seen_in_a_stream(spark, tmp_path):
+    from siftwell.streaming.ingest import first_seen
+
+    schema = "hash string, path string, found_at timestamp"
+    spark.sql("SELECT 'h' hash, '/a' path, timestamp'2024-01-01 00:00:00' found_at UNION ALL SELECT 'h', '/b', timestamp'2024-01-01 00:10:00' UNION ALL SELECT 'i', '/c', timestamp'2024-01-01 00:20:00'").coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = first_seen(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.hash for r in spark.table("firsts").collect()) == ["h", "i"]
+
+
 def test_streamed_manifest(spark, tmp_path):
     inbox, m = str(tmp_path / "in"), str(tmp_path / "m")
     schema = "hash string, size long, mtime double, path string"

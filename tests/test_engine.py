@@ -151,6 +151,34 @@ def test_an_action_that_runs_twice(tmp_path):
         actions.act("copy", b, b, 1)
 
 
+def test_a_deletion_that_runs_twice_and_one_of_another_file(tmp_path):
+    tree(tmp_path, {"a": "1", "b": "1"})
+    md5 = "c4ca4238a0b923820dcc509a6f75849b"
+    for _ in range(2):
+        actions.act("delete", str(tmp_path / "a"), None, 1, algorithm="md5", expected=md5)
+    (tmp_path / "b").write_text("2")
+    with pytest.raises(OSError):
+        actions.act("delete", str(tmp_path / "b"), None, 1, algorithm="md5", expected=md5)
+    with pytest.raises(OSError):  # its directory is gone: perhaps a mount is
+        actions.act("delete", str(tmp_path / "none/a"), None, 1)
+    assert left(tmp_path) == ["b"]
+
+
+def test_late_files_of_one_hash_get_names_of_their_own(run, tmp_path):
+    src = tree(tmp_path / "s", {f"d{i}/x.txt": "" for i in range(4)} | {"e/x.txt": "1"})
+    run(src, copy_to_path=str(tmp_path / "t"), path_rules=["*:extension"], suffix_conflicts=True)
+    assert len(left(tmp_path / "t")) == 5 and "txt/x.txt" in left(tmp_path / "t")
+
+
+def test_report_in_parts(run, spark, tmp_path):
+    from siftwell.plans.report import write_report_parts
+
+    out = run(tree(tmp_path / "s", FIVE))
+    write_report_parts(out.collisions, str(tmp_path / "r"), 2)
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert len(lines) == 4 and sum(x.startswith("1, ") for x in lines) == 2 and repr(f"{tmp_path}/s/a.txt") in "".join(lines)
+
+
 def test_verify(run, tmp_path):
     src = tree(tmp_path / "s", {f"f{i}": "x" * 100 for i in range(5)})
     run(src, manifest_out_path=str(tmp_path / "m"))

@@ -86,7 +86,9 @@ def test_rules():
             rules.parse_rules([bad])
     assert rules.best_pattern(["*.j*", "*.jp*", "*.jpg", "*.jpeg"], "jpg") == "*.jpg"
     assert rules.best_pattern(["*.j*", ".jpg"], "jpg") == ".jpg"
-    assert rules.best_pattern(["*.?pg", "*.j?g"], "jpg") == "*.j?g"  # the last of equals
+    assert rules.best_pattern(["*.?pg", "*.j?g"], "jpg") == "*.j?g"  # the last, if none is nearer
+    assert rules.best_pattern(["*.jp?", "*.j?g", "*.*"], "jpg") == "*.jp?"  # else the first of the nearest
+    assert rules.best_pattern(["*.*", "*.jp?", "*.j?g", "*.?pg"], "jpg") == "*.?pg"
     assert rules.best_pattern(["*.gif"], "jpg") is None
 
 
@@ -94,6 +96,9 @@ def test_destinations(spark, monkeypatch):
     files = spark.createDataFrame([("/r/s/a.jpg", 0.0), ("/r/b.TXT", 86400.0 * 40), ("/r/s/t/c", 0.0), ("/r/d.jpeg", 0.0)], "path string, mtime double")
     given = ["*.jp*:extension", "*.jpg:mtime", "txt:mtime", "txt:no_change"]
     expected = ["/t/1970_01/a.jpg", "/t/1970_02/b.TXT", "/t/s/t/c", "/t/jpeg/d.jpeg"]
+    files = files.unionByName(spark.createDataFrame([("/r/e.tmp", 0.0), ("/r/f.zip", 0.0)], files.schema))
+    given += ["*.zi?:extension", "*.tm?:extension", "*.t?p:mtime", "*.z?p:mtime", "*.t*:no_change"]
+    expected += ["/t/tmp/e.tmp", "/t/1970_01/f.zip"]
     for most in (2000, 0):
         monkeypatch.setattr(rules, "MOST_EXTENSIONS", most)
         to = rules.destination("/t/", ["/r"], given, F.col("path"), F.col("mtime"), files)

@@ -53,6 +53,39 @@ def test_manifests_are_versions(spark, tmp_path):
     assert len([p for p in os.listdir(path) if p.startswith("v-")]) == 2
 
 
+def test_appended_manifests(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/m"
+    one = lambda i: store.Manifest(files(spark, [(f"h{i}", 1.0, f"/{i}")]), spark.createDataFrame([(f"/{i}",)], "path string"), "md5")
+    assert not store.exists(spark, path)
+    monkeypatch.setattr(store, "MOST_PARTS", 3)
+    for i in range(5):
+        held = store.load(spark, path) if i else None
+        store.append(one(i), path)
+        assert sorted(r.path for r in store.load(spark, path).files.collect()) == [f"/{k}" for k in range(i + 1)]
+        assert not held or held.files.count() == i
+    assert store.load(spark, path).read.count() == 5
+    assert len(store._pointer(spark, path)["parts"]) == 2
+    with pytest.raises(ValueError):
+        store.append(store.Manifest(one(9).files, one(9).read, "xxh64"), path)
+
+
+def test_walks_are_dealt_to_a_bounded_number_of_tasks(spark, tmp_path):
+    from siftwell.sources import walk as source
+
+    for i in range(30):
+        for j in range(10):
+            (tmp_path / f"{i}/{j}").mkdir(parents=True)
+            (tmp_path / f"{i}/{j}/f").write_text("1")
+    parts = source._Reader([str(tmp_path)], None, 0.0, 8, 2).partitions()
+    assert len(parts) <= 8 + 2
+    deep = [p for t in parts if t.deep for p in t.paths]
+    assert len(deep) >= 32 and max(len(t.paths) for t in parts) < 60
+    rows = source.walk_rows(spark, [str(tmp_path)], ["txt"], ["*/1/*"]).collect()
+    kinds = [r.kind for r in rows]
+    assert (kinds.count("directory"), kinds.count("ignored"), kinds.count("excluded")) == (1 + 30 + 290, 10 + 29, 300 - 39)
+    assert source.walk(spark, [str(tmp_path)]).count() == 300
+
+
 def test_union_of_manifests(spark, tmp_path):
     for i, rows in enumerate(([("h", 1.0, "/a")], [("h", 1.0, "/a"), ("h", 2.0, "/a")])):
         f = files(spark, rows)
@@ -71,6 +104,10 @@ def test_sqlite_manifests(spark, tmp_path):
         with sqlite3.connect(name) as db:
             db.execute("CREATE TABLE t (key BLOB PRIMARY KEY, hash INTEGER, value BLOB)")
             db.executemany("INSERT INTO t VALUES (?, 0, ?)", rows)
+    assert store.load(spark, path).files.count() == 3
+    (tmp_path / "text").write_text("no manifest")
+    with pytest.raises(ValueError):
+        store.load(spark, str(tmp_path / "text"))
     got = legacy.load_sqlite(spark, path)
     assert got.hash_algo == "md5" and got.files.count() == 3 and [r.path for r in got.read.collect()] == ["/a"]
     with pytest.raises(pickle.UnpicklingError):

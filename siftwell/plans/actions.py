@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -22,23 +21,12 @@ from pyspark.sql import functions as F
 from ..functions.errors import error_message
 from ..functions.hashing import hash_file
 from ..schemas import ACTIONS, RESULTS
-
-
-def work_folder(spark) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a local session may do without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/siftwell/plan-{uuid.uuid4().hex}"
+from ..storage import written
 
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows, written and read again, so that nothing is computed twice against a changing file system."""
-    path = work_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "plan")
 
 
 def _copied(source: str, dest: str, keep_stat: bool, algorithm: str | None, expected: str | None) -> None:

@@ -179,6 +179,17 @@ def test_report_in_parts(run, spark, tmp_path):
     assert len(lines) == 4 and sum(x.startswith("1, ") for x in lines) == 2 and repr(f"{tmp_path}/s/a.txt") in "".join(lines)
 
 
+def test_tables_of_a_run_are_removed(spark):
+    from siftwell import storage
+
+    df = storage.written(spark.range(3).toDF("x"), "t")
+    assert df.count() == 3
+    folder = storage.run_folder(spark).removeprefix("file://")
+    assert os.listdir(folder)
+    storage.forget(spark)
+    assert not os.path.exists(folder)
+
+
 def test_verify(run, tmp_path):
     src = tree(tmp_path / "s", {f"f{i}": "x" * 100 for i in range(5)})
     run(src, manifest_out_path=str(tmp_path / "m"))

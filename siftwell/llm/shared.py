@@ -1,49 +1,17 @@
-"""What the operators of this subpackage share: the shared folder, written tables, Arrow helpers."""
+"""What the operators of this subpackage share: written tables, sizes, Arrow helpers."""
 
 from __future__ import annotations
 
-import functools
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder, shared_root, written
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="siftwell-")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a folder of its own; a cluster without it is refused,
-    since a machine-local folder would lose rows there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + _local_folder()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/siftwell/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written as Parquet in the shared folder and read again.
-
-    It cuts lineage: a lost executor costs no recomputation of what came before, and later plans see the true size.
-    """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["bottom", "new_folder", "parts_for", "shared_root", "text_bytes", "utf8", "written"]
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

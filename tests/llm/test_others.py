@@ -346,5 +346,84 @@ def test_stages(spark):
     assert set(ids[4]) == {1, 3, 4, 8}
 
 
+def plain_pipeline(rows, passages, predicted):
+    """What the first four stages keep, said plainly: (id, text) of each row left, by brute force over all pairs.
+
+    ``predicted`` is the language stage's own answer for each text; the kernel model has its own brute-force test.
+    """
+    from tests.llm.test_documents import SPACE, brute_fingerprint, brute_substrings
+
+    key = lambda r: (r[0] is None, r[0] or 0)
+    rows = [r for r in rows if predicted[r[1]] != "und"]
+    group = list(range(len(rows)))
+    prints = [brute_fingerprint(t) for _, t in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                group = [group[b] if g == group[a] else g for g in group]
+    rows = [min((r for r, g in zip(rows, group, strict=True) if g == x), key=key) for x in sorted(set(group))]
+    cleaned = brute_substrings([(2**62 if i is None else i, t) for i, t in rows])
+    kept = {(None if i == 2**62 else i): (text, n, gone) for i, text, n, gone in cleaned}
+    rows = [(i, kept[i][0] if kept[i][2] else t) for i, t in rows if kept[i][2] < kept[i][1] or not kept[i][1]]
+    lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
+    words = lambda t: "".join(c if not c.isascii() or c.isalnum() else " " for c in lower(t)).split(" ")
+    split = lambda t: [w for w in words(t) if w]
+    windows = {tuple(w[i : i + 10]) for w in map(split, passages) if w for i in range(max(1, len(w) - 9))}
+    sizes = {len(w) for w in windows}
+    dirty = lambda t: any(tuple(w[i : i + n]) in windows for w in [split(t)] for n in sizes for i in range(len(w) - n + 1))
+    assert all(SPACE.findall(t or "") or not (t or "").strip() for _, t in rows)
+    return [r for r in rows if not dirty(r[1])]
+
+
+def test_pipeline_is_brute_force(spark, tmp_path):
+    """All rows of all stages on a small table of odd, near, repeated and contaminated documents."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(17)
+    passages = ["ten words " + " ".join(f"bench{i}x{k}" for k in range(14)) for i in range(3)] + ["short one", None]
+    vocabulary = {"en": "the of and house river street walking with from over they said".split(), "de": "der die und haus fluss straße gehen mit von über sie sagte".split()}
+    say = lambda k, n: " ".join(r.choice(vocabulary[k]) + str(r.randint(0, 9)) * r.randint(0, 1) for _ in range(n))
+    texts = [(k, say(k, r.randint(30, 80))) for _ in range(25) for k in vocabulary]
+    shared = say("en", 40)
+    texts += [("en", f"{say('en', 20)} {shared} {say('en', 20)}") for _ in range(4)] + [("en", f"{say('en', 30)} {passages[1]} {say('en', 9)}"), ("en", f"{say('en', 30)} Short, ONE {say('en', 30)}")]
+    texts += [(None, t) for t in (None, "", "12 34", " \n")] + [(k, t.upper() if t.isascii() else t) for k, t in texts[:6]] + [(k, t + " end") for k, t in texts[6:12]] + [("en", texts[0][1])]
+    ids = [*range(len(texts) - 1), None]
+    rows = list(zip(ids, (t for _, t in texts), strict=True))
+    docs = spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, (k, t) in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    from siftwell.llm import language
+
+    predicted = {x.text: x.lang_pred for x in language.predict(docs, language.fit(docs)).collect()}
+    expected = plain_pipeline(rows, passages, predicted)
+    assert 20 < len(expected) < len(rows) - 12
+    got: dict = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.ids, x.ids_crc32))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert set(got) == {i for i, _ in expected}
+    for i, t in expected:
+        pieces = [x for _, x, _ in sorted(got[i])]
+        assert [y for x in pieces for y in x] == [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        assert all(c == zlib.crc32(np.array(x, "<u4")) for _, x, c in got[i])
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(None, "the cat", "en", "s", 7), (7, "der hund", "de", "s", 8), (7, "le chat", None, "s", 7), (7, "le chat", None, "s", 7)]])
+def test_stages_of_odd_tables(spark, rows):
+    """Null ids, unlike texts of one id and repeated rows through each stage by itself."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sf = "/root/testdata/sf0.001"
+    words = len([x for x in rows if x[1]])
+    found = [written(stage(spark, docs, sf), name) for name, stage in corpus_pipeline.STAGES]
+    assert [f.columns == docs.columns for f in found] == [True] * 4 + [False]
+    # the held-out labels leave one or two languages to learn from, or none
+    assert found[0].count() in (0, words)
+    assert found[1].count() == len(set(rows)) and found[2].count() == found[3].count() == len(rows)
+    assert found[4].selectExpr("sum(length) AS n").first().n == (sum(x.doc_tokens for x in found[4].collect()) or None)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100

@@ -2,8 +2,8 @@
 
 Each window has a fill level. A level array counts the open windows of each level; a document goes to the level (or a
 new window) that leaves the sum of squared counts least. Only what is longer than a window is cut on the way. At the
-end of a partition the few windows still open are poured together and cut anew, so one sequence of a partition at most
-is left unfilled.
+end of a partition the windows still open are placed once more by the same rule, the fullest first, each as a whole;
+what can't be filled that way is poured together and cut anew, so one sequence of a partition at most is left unfilled.
 """
 
 from __future__ import annotations
@@ -46,21 +46,27 @@ class Packer:
         for i in range(0, cut, w):
             out.append([(doc, i, ids[i : i + w], total)])
         size = total - cut
-        if size:
-            level = self._level(size)
-            held = self.open[level].pop() if level else []
-            if level:
-                self.count[level] -= 1
-            held.append((doc, cut, ids[cut:], total))
-            if level + size == w:
-                out.append(held)
-            else:
-                self.open[level + size].append(held)
-                self.count[level + size] += 1
-        return out
+        return out + self._place([(doc, cut, ids[cut:], total)], size) if size else out
+
+    def _place(self, pieces: list, size: int) -> list[list]:
+        """Put pieces of together ``size`` tokens into the window that the level array says; the window if that fills it."""
+        level = self._level(size)
+        held = self.open[level].pop() if level else []
+        self.count[level] -= level > 0
+        held = [*held, *pieces]
+        if level + size == self.window:
+            return [held]
+        self.open[level + size].append(held)
+        self.count[level + size] += 1
+        return []
 
     def close(self) -> list[list]:
-        out, held, room = [], [], self.window
+        """The windows still open, placed among themselves and then poured together."""
+        out, left = [], [(size, pieces) for size in range(self.window - 1, 0, -1) for pieces in self.open[size]]
+        self.__init__(self.window)
+        for size, pieces in left:
+            out += self._place(pieces, size)
+        held, room = [], self.window
         for windows in reversed(self.open):
             for piece in (p for x in windows for p in x):
                 doc, start, ids, total = piece

@@ -390,6 +390,29 @@ def test_packer_takes_the_least_sum_of_squares():
     assert [sum(len(x) for _, _, x, _ in w) for w in rest] == [10, 1] and not p.count.any()
 
 
+def test_open_windows_are_placed_as_wholes_before_any_is_cut():
+    p = packing.Packer(10)
+    sizes = [7, 6, 4, 3, 5, 8]
+    for i, n in enumerate(sizes):  # as they are when no placing has filled a window
+        p.open[n].append([(i, 0, np.zeros(n, np.uint32), n)])
+        p.count[n] += 1
+    rest = p.close()
+    whole = sorted(sorted(len(x) for _, _, x, _ in w) for w in rest)
+    assert [3, 7] in whole and [4, 6] in whole and sum(map(sum, whole)) == sum(sizes)
+    assert [sum(w) for w in whole].count(10) == 3 and not p.count.any()
+
+
+def test_few_windows_are_cut_at_the_end():
+    """Of a stream of the documents' sizes, most sequences hold pieces that the level array has put together."""
+    r = random.Random(5)
+    p, pieces, cut = packing.Packer(1024), 0, 0
+    closed = [w for i in range(3000) for w in p.put(i, np.zeros(1 + int(r.expovariate(1 / 300)), "<u4"))]
+    rest = p.close()
+    pieces = sum(map(len, closed + rest))
+    cut = sum(start % 1024 != 0 for w in rest for _, start, _, _ in w)
+    assert cut < 0.05 * pieces and sum(sum(len(x) for _, _, x, _ in w) < 1024 for w in closed + rest) == 1
+
+
 def test_packing_loses_no_id(spark):
     texts = [*ODD, *sentences(100, 7), *ODD]
     library = Tokenizer.from_file(public_tokenizers.path(JSONS[0]))

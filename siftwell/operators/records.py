@@ -55,7 +55,7 @@ def info(files: DataFrame) -> DataFrame:
 def listed(files: DataFrame, k: int = 10) -> DataFrame:
     """Rows of the first ``k`` hashes."""
     first = files.select("hash").distinct().orderBy("hash").limit(k)
-    return files.join(F.broadcast(first), "hash", "left_semi").orderBy("hash", "path")  # k rows
+    return files.join(first, "hash", "left_semi").orderBy("hash", "path")
 
 
 def find(files: DataFrame, query: str) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import moved_prefix, year_month
 
+#: Rows of one hash from which on its nested view has several parts.
+MOST_NESTED = 100_000
+
 
 def union_files(*tables: DataFrame) -> DataFrame:
     """All rows, those that are equal in hash, path, size and mtime once."""
@@ -18,9 +21,16 @@ def union_files(*tables: DataFrame) -> DataFrame:
     return out.dropDuplicates(["hash", "path", "size", "mtime"])
 
 
-def nested(files: DataFrame) -> DataFrame:
-    """(hash, files): a row for each hash with its (path, size, mtime), in order of path; for tables of small groups."""
-    return files.groupBy("hash").agg(F.array_sort(F.collect_list(F.struct("path", "size", "mtime"))).alias("files"))
+def nested(files: DataFrame, most: int = MOST_NESTED) -> DataFrame:
+    """(hash, part, files): each hash with its (path, size, mtime) in order of path; a row of part 0 for most hashes.
+
+    A hash of more than ``most`` rows has several parts of about that many, dealt by path, so no task holds all of it.
+    """
+    counts = files.groupBy("hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    crowded = counts.select(F.col("hash").alias("_hash"), F.ceil(F.col("_n") / most).alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("path"), F.col("_parts")), F.lit(0)).alias("part")
+    dealt = files.join(crowded, F.col("hash").eqNullSafe(F.col("_hash")), "left").select("hash", part, "path", "size", "mtime")
+    return dealt.groupBy("hash", "part").agg(F.array_sort(F.collect_list(F.struct("path", "size", "mtime"))).alias("files"))
 
 
 def flattened(by_hash: DataFrame) -> DataFrame:

@@ -90,3 +90,14 @@ def test_common_root(spark):
 def test_first_per_hash_needs_no_window(spark):
     plan = selection.copy_selection(files(spark, [("h", 1, 1, "/a")]))._jdf.queryExecution().toString()
     assert "Window" not in plan and "CartesianProduct" not in plan
+
+
+def test_nested_rows_are_bounded_and_lose_nothing(spark):
+    rows = [("h1", 1, 1, f"/{i:04d}") for i in range(1000)] + [(None, 1, 1, f"/n{i}") for i in range(50)] + [("h2", 1, 1, "/x"), ("h2", 1, 1, "/x"), ("h3", 1, 1, None)]
+    table = files(spark, rows)
+    by_hash = records.nested(table, most=20)
+    assert by_hash.agg(F.max(F.size("files"))).first()[0] < 60
+    assert [r.part for r in by_hash.filter("hash IN ('h2', 'h3')").collect()] == [0, 0]
+    back = records.flattened(by_hash)
+    assert sorted(map(repr, back.select(*FILES.names).collect())) == sorted(map(repr, table.collect()))
+    assert records.nested(files(spark, [])).count() == 0

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cli import main
 from ..functions.hashing import hash_files
 from ..operators import duplicates, selection
 from ..schemas import FILES
@@ -258,3 +259,17 @@ def _(files):
     folder = new_folder(files.sparkSession, "report")
     write_report_parts(duplicates.collisions(_plain(files)), folder)
     return _without_time(files.sparkSession.read.schema("value string").text(folder))
+
+
+_WANTED = "SELECT * FROM live WHERE (lower(path) LIKE '%.jpg' OR path LIKE '%.txt') AND NOT path LIKE '%/de/%'"
+
+
+@_query("command_line", f"SELECT 0::BIGINT AS code, 'manifest' AS place, path, hash FROM ({_WANTED}) UNION ALL SELECT 0, 'target', path, hash FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path) AS rn FROM ({_WANTED})) WHERE rn = 1 OR size = 0", empties=True)
+def _(files):
+    spark, top = files.sparkSession, planted(files)
+    target, known = (shared_mount(spark, n) for n in ("target", "manifest"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    code = main(["-q", "--no-ui", "-p", top, "-e", "jpg", "-e", "txt", "--ignore", "*/de", "-c", target, "-m", known, "--time-zone", zone], spark)
+    rows = _below(store.load(spark, known).files, top).select(F.lit("manifest").alias("place"), "path", "hash")
+    there = _contents(spark, target).select(F.lit("target").alias("place"), "path", "hash")
+    return rows.unionByName(there).select(F.lit(code).cast("long").alias("code"), "place", "path", "hash")

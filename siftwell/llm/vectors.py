@@ -11,6 +11,9 @@ pair is counted twice and none has to be written out.
 
 Equal vectors are one class with a count. A cell of very many classes is split by the block's next coordinates, and
 where those are used up (a crowd of near copies) into tiles of parts that are held against each other.
+
+A vector goes to many cells, the more of them the larger the table. So cells and tiles are dealt to rounds of bounded
+size: each reads the classes, sends the vectors of its own cells only, and its shuffle files go before the next begins.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import bottom, written
+from .shared import bottom, dropped, new_folder, written
 
 COSINE = 0.93
 BLOCKS = 4
@@ -34,6 +37,8 @@ BLOCKS = 4
 LEAD = 2
 #: Classes of one cell, and guests, that one task holds against each other.
 TILE = 16_384
+#: Vectors that a round sends, for each class, and where that is fewer.
+SENT, SENT_LEAST = 2, 250_000
 #: Marks on a coordinate between its least and its greatest value.
 STEPS = 64
 _ROWS, _COLUMNS = 512, 4096  # that are held against each other at once
@@ -85,44 +90,45 @@ def _around(axes: int) -> list[tuple[int, ...]]:
     return list(itertools.product((0, -1, 1), repeat=axes))
 
 
+def _spread(x: np.ndarray, guest: np.ndarray, gap: np.ndarray, most: float) -> list[np.ndarray]:
+    """Row, cell, guest and gap of all places that rows have on one level of the grid, with its coordinates ``x``."""
+    width = 2 * most**0.5
+    cell = np.floor(x / width).astype(np.int64)
+    below, above = x - cell * width, (cell + 1) * width - x
+    out = []
+    for step in _around(x.shape[1]):
+        far = gap + sum(np.where(s < 0, below[:, i], above[:, i]) ** 2 * (s != 0) for i, s in enumerate(step))
+        own = not any(step)
+        half = own or next(s for s in step if s) > 0
+        to = np.flatnonzero((far <= most * (1 + 1e-9)) & (guest | half))
+        out.append((to, cell[to] + np.array(step), guest[to] | (not own), far[to]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
 def _dealt(cosine: float, blocks: int, lead: int):
     """From rows without a path or in a cell that is too large to rows in the cells of the next coordinates.
 
-    An own row stays own in its cell and is a guest in half of those around; a guest is one in all cells around. Both
-    only where the cell is within the radius, the coordinates of earlier levels (``gap``) included.
+    One level, with the vectors; ``_sent`` goes down all levels by places. An own row stays own in its cell and is a
+    guest in half of those around; a guest is one in all cells around. Both only where the cell is within the radius,
+    the coordinates of earlier levels (``gap``) included.
     """
 
-    def one(b: pa.RecordBatch, dim: int, k: int) -> list[pa.RecordBatch]:
+    def one(b: pa.RecordBatch, dim: int, k: int) -> pa.RecordBatch:
         part = split(dim, blocks)[k]
         path = np.asarray(b.column("path").flatten()).reshape(b.num_rows, -1)
-        level = path.shape[1]
-        at = slice(part.start + level, min(part.start + level + lead, part.stop))
-        most = budget(part, dim, cosine)
-        x = turned(_stack(b.column("embedding")))[:, at]
-        width = 2 * most**0.5
-        cell = np.floor(x / width).astype(np.int64)
-        guest, gap = np.asarray(b.column("guest")), np.asarray(b.column("gap"))
-        below, above = x - cell * width, (cell + 1) * width - x
-        out = []
-        for step in _around(x.shape[1]):
-            far = gap + sum(np.where(s < 0, below[:, i], above[:, i]) ** 2 * (s != 0) for i, s in enumerate(step))
-            own = not any(step)
-            half = own or next(s for s in step if s) > 0
-            to = np.flatnonzero((far <= most * (1 + 1e-9)) & (guest | half))
-            if len(to):
-                rows = b.take(pa.array(to))
-                new = np.c_[path[to], cell[to] + np.array(step)].astype(np.int32)
-                columns = {c: rows.column(c) for c in ("label", "dim", "cid", "embedding", "n")}
-                columns |= {"block": pa.array(np.full(len(to), k), pa.int32()), "path": _lists(new), "guest": pa.array(guest[to] | (not own)), "gap": pa.array(far[to])}
-                out.append(pa.RecordBatch.from_arrays([columns[c] for c in _DEALT], _DEALT))
-        return out
+        x = turned(_stack(b.column("embedding")))[:, part]
+        to, cell, guest, gap = _spread(x[:, path.shape[1] : path.shape[1] + lead], np.asarray(b.column("guest")), np.asarray(b.column("gap")), budget(part, dim, cosine))
+        rows = b.take(pa.array(to))
+        columns = {c: rows.column(c) for c in ("label", "dim", "cid", "embedding", "n")}
+        columns |= {"block": pa.array(np.full(len(to), k), pa.int32()), "path": _lists(np.c_[path[to], cell].astype(np.int32)), "guest": pa.array(guest), "gap": pa.array(gap)}
+        return pa.RecordBatch.from_arrays([columns[c] for c in _DEALT], _DEALT)
 
     def f(batches):
         for b in batches:
             for dim, k in sorted(set(zip(b.column("dim").to_pylist(), b.column("block").to_pylist(), strict=True))):
                 own = b.filter(pc.and_(pc.equal(b.column("dim"), dim), pc.equal(b.column("block"), k)))
                 for level in sorted(set(pc.list_value_length(own.column("path")).to_pylist())):
-                    yield from one(own.filter(pc.equal(pc.list_value_length(own.column("path")), level)), dim, k)
+                    yield one(own.filter(pc.equal(pc.list_value_length(own.column("path")), level)), dim, k)
 
     return f
 
@@ -256,18 +262,191 @@ def linked(table: pa.Table, cosine: float, blocks: int) -> tuple[pa.Table, int]:
     return pa.table({"cid": cid[some], "root": cid[labels[some]], "links": links[some]}), compared
 
 
-def _tiled(dealt: DataFrame, sizes: DataFrame, tile: int) -> DataFrame:
-    """Rows of crowded cells, with i and j: own rows in parts, guests in further parts, part i against part j >= i."""
-    parts = sizes.select(*_KEY, F.greatest(F.ceil(F.col("own") / tile), F.lit(1)).cast("int").alias("to"), F.ceil((F.col("rows") - F.col("own")) / tile).cast("int").alias("more"))
-    spread = F.xxhash64("cid", F.lit(1))
-    at = F.when(F.col("guest"), F.col("to") + F.pmod(spread, F.greatest("more", F.lit(1)))).otherwise(F.pmod(spread, "to")).cast("int")
-    upto = lambda a, b, f: F.when(a <= b, F.transform(F.sequence(a, b), f)).otherwise(F.array().cast("array<struct<i:int,j:int,guest:boolean>>"))
-    entry = lambda i, j, guest: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(guest).alias("guest"))
-    left = upto(F.col("at"), F.col("to") + F.col("more") - 1, lambda j: entry(F.col("at"), j, False))
-    right = upto(F.lit(0), F.least(F.col("at"), F.col("to")) - 1, lambda i: entry(i, F.col("at"), True))
-    own = F.concat(left, right)
-    places = dealt.join(parts, _KEY).withColumn("at", at).withColumn("place", F.explode(F.when(F.col("guest"), right).otherwise(own)))
-    return places.select(*_KEY, F.col("place.guest").alias("guest"), "cid", "embedding", "n", F.col("place.i").alias("i"), F.col("place.j").alias("j"))
+def _mixed(h: np.ndarray, x: np.ndarray | int) -> np.ndarray:
+    h = (h ^ np.asarray(x, np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _found(h: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``h`` are among sorted ones, and where."""
+    at = np.searchsorted(among, h)
+    if not len(among):
+        return np.zeros(len(h), bool), at
+    at = np.minimum(at, len(among) - 1)
+    return among[at] == h, at
+
+
+def _places(x: np.ndarray, h: np.ndarray, most: float, lead: int, crowded: np.ndarray):
+    """Row, path, guest and hash of all cells that aren't ``crowded`` (sorted hashes of those to be split), by levels.
+
+    Only what is decided for a cell goes by its hash: cells of one hash would be split or tiled alike, never mixed.
+    """
+    n = len(x)
+    row, path, guest, gap = np.arange(n), np.zeros((n, 0), np.int64), np.zeros(n, bool), np.zeros(n)
+    while len(row):
+        level = path.shape[1]
+        at, cell, guest, gap = _spread(x[row, level : level + lead], guest, gap, most)
+        row, path, h = row[at], np.c_[path[at], cell], h[at]
+        for c in cell.T:
+            h = _mixed(h, c)
+        more = _found(h, crowded)[0] & (path.shape[1] < x.shape[1])
+        yield row[~more], path[~more], guest[~more], h[~more]
+        row, path, guest, gap, h = row[more], path[more], guest[more], gap[more], h[more]
+
+
+def _parted(b: pa.RecordBatch, blocks: list[int], cosine: float, count: int, lead: int, crowded: np.ndarray):
+    """For some rows of one length and each block: dim, block, number of the first row, and what ``_places`` gives."""
+    dims = pc.list_value_length(b.column("embedding"))
+    for dim in pc.unique(dims).to_pylist():
+        some = np.flatnonzero(np.asarray(pc.equal(dims, dim)))
+        own = b.take(pa.array(some))
+        plain, parts = unit(_stack(own.column("embedding"))), split(dim, count)
+        seed = own.column("seed").to_numpy().view(np.uint64)
+        for k in (k for k in blocks if k < len(parts)):
+            x = np.einsum("ij,jk->ik", plain, np.ascontiguousarray(rotation(dim)[:, parts[k]]), optimize=False)  # as in turned()
+            for row, *rest in _places(x, _mixed(seed, k), budget(parts[k], dim, cosine), lead, crowded):
+                yield dim, k, some[row], *rest
+
+
+_BATCH = 4096
+_COUNTED = "block int, cell long, spent boolean, own long, rows long"
+_SENT = [*_KEY, "guest", "cid", "embedding", "n", "i", "j"]
+
+
+def _slices(batches):
+    for b in batches:
+        for start in range(0, b.num_rows, _BATCH):
+            yield b.slice(start, _BATCH)
+
+
+def _counted(cosine: float, count: int, lead: int, crowded: np.ndarray):
+    """From classes to the rows of each cell; ``spent`` says that the block has no coordinates left to split it by."""
+
+    def f(batches):
+        for b in _slices(batches):
+            for dim, k, _, path, guest, h in _parted(b, list(range(count)), cosine, count, lead, crowded):
+                cells, at = np.unique(h, return_inverse=True)
+                rows, own = np.bincount(at, minlength=len(cells)), np.bincount(at[~guest], minlength=len(cells))
+                spent = path.shape[1] >= dim // min(count, dim)  # coordinates of the smallest block
+                columns = [pa.array(np.full(len(cells), k), pa.int32()), pa.array(cells.view(np.int64)), pa.array(np.full(len(cells), spent)), pa.array(own), pa.array(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "cell", "spent", "own", "rows"])
+
+    return f
+
+
+def _tiles(guest: np.ndarray, h: np.ndarray, cid: np.ndarray, tiled: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Index, guest, i, j and hash of all places: a row of a tiled cell (hashes, parts of own rows, parts of guests)
+    goes to a tile i <= j for each part that its own is held against, as a guest where its part is the second."""
+    yes, at = _found(h, tiled[0])
+    plain, some = np.flatnonzero(~yes), np.flatnonzero(yes)
+    zero = np.zeros(len(plain), np.int64)
+    out = [(plain, guest[plain], zero, zero)]
+    if len(some):
+        to, more, g = tiled[1][at[some]], tiled[2][at[some]], guest[some]
+        spread = _mixed(cid[some].view(np.uint64), 1)
+        part = np.where(g, to + (spread % np.maximum(more, 1).astype(np.uint64)).astype(np.int64), (spread % to.astype(np.uint64)).astype(np.int64))
+        times = np.where(g, to, to + more)
+        which = np.repeat(np.arange(len(some)), times)
+        other = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        part, g = part[which], g[which]
+        out.append((some[which], g | (other < part), np.minimum(part, other), np.maximum(part, other)))
+    k, g, i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    return [k, g, i, j, _mixed(_mixed(h[k], i + 1), j + 1)]
+
+
+def _sent(cosine: float, count: int, lead: int, crowded: np.ndarray, tiled: tuple, blocks: list[int], turn: int, turns: int):
+    """From classes to the rows of those cells and tiles of some blocks whose turn it is."""
+
+    def f(batches):
+        for b in _slices(batches):
+            cid = b.column("cid").to_numpy()
+            for dim, k, row, path, guest, h in _parted(b, blocks, cosine, count, lead, crowded):
+                place, guest, i, j, h = _tiles(guest, h, cid[row], tiled)
+                now = np.flatnonzero(h % np.uint64(turns) == turn)
+                for at in range(0, len(now), 4 * _BATCH):
+                    t = now[at : at + 4 * _BATCH]
+                    rows = b.take(pa.array(row[place[t]]))
+                    columns = {c: rows.column(c) for c in ("label", "cid", "embedding", "n")}
+                    columns |= {c: pa.array(np.full(len(t), v), pa.int32()) for c, v in (("dim", dim), ("block", k))}
+                    columns |= {"path": _lists(path[place[t]].astype(np.int32)), "guest": pa.array(guest[t]), "i": pa.array(i[t].astype(np.int32)), "j": pa.array(j[t].astype(np.int32))}
+                    yield pa.RecordBatch.from_arrays([columns[c] for c in _SENT], _SENT)
+
+    return f
+
+
+def _cells(classes: DataFrame, cosine: float, count: int, lead: int, tile: int) -> tuple[np.ndarray, tuple, dict[int, int]]:
+    """The cells to be split, those to be tiled with their numbers of parts, and the vectors to be sent for each block.
+
+    Only crowded cells reach the driver, at most one for each ``tile`` vectors sent.
+    """
+    crowded = np.zeros(0, np.uint64)
+    while True:
+        sizes = classes.mapInArrow(_counted(cosine, count, lead, crowded), _COUNTED).groupBy("block", "cell", "spent").agg(F.sum("own").alias("own"), F.sum("rows").alias("rows"))
+        large = (F.col("own") > 0) & (F.greatest(F.col("own"), F.col("rows") - F.col("own")) > tile)
+        found = sizes.groupBy("block").agg(F.sum(F.when(~large, F.col("rows"))).alias("rest"), F.collect_list(F.when(large, F.struct("cell", "spent", "own", "rows"))).alias("large")).collect()
+        cells = [(r["block"], *c) for r in found for c in r["large"]]
+        new = np.array([cell for _, cell, spent, _, _ in cells if not spent], np.int64).view(np.uint64)
+        if not len(new):
+            break
+        crowded = np.union1d(crowded, new)
+    total = {r["block"]: r["rest"] or 0 for r in found}
+    tiles = {}
+    for block, cell, _, own, rows in cells:
+        to, more = -(-own // tile), -(-(rows - own) // tile)
+        tiles[cell] = (to, more)
+        total[block] += own * (to + more) + (rows - own) * to
+    keys = np.array(list(tiles), np.int64).view(np.uint64)
+    order, parts = np.argsort(keys), np.array(list(tiles.values()), np.int64).reshape(-1, 2)
+    return crowded, (keys[order], parts[order, 0], parts[order, 1]), total
+
+
+def _rounds(total: dict[int, int], classes: int) -> list[tuple[list[int], int, int]]:
+    """Blocks, turn and number of turns of each round."""
+    most = max(SENT * classes, SENT_LEAST)
+    if sum(total.values()) <= most:
+        return [(sorted(total), 0, 1)]
+    return [([k], turn, turns) for k in sorted(total) for turns in [-(-total[k] // most)] for turn in range(turns)]
+
+
+def _all_links(classes: DataFrame, cosine: float, count: int, lead: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(cid, links) and (node, root) of the classes that have links.
+
+    Every few rounds their rows, one for each place with a link, are summed up to a row a class.
+    """
+    crowded, tiled, total = _cells(classes, cosine, count, lead, tile)
+    spark, rounds, sums = classes.sparkSession, _rounds(total, classes.count()), None
+    for at in range(0, len(rounds), _SUMMED):
+        folders = []
+        for blocks, turn, turns in rounds[at : at + _SUMMED]:
+            sent = classes.mapInArrow(_sent(cosine, count, lead, crowded, tiled, blocks, turn, turns), _sent_schema(classes))
+            folders.append(new_folder(spark, "linked"))
+            written(sent.groupBy(*_KEY, "i", "j").applyInArrow(_linked(cosine, count), _LINKS), "linked", clean=True, path=folders[-1])
+        links = spark.read.schema(_LINKS).parquet(*folders)
+        edges = links.select(F.col("root").alias("a"), F.col("cid").alias("b"))
+        links = links.select("cid", "links")
+        if sums:
+            links, edges = links.unionByName(sums[0]), edges.unionByName(sums[1].select(F.col("root").alias("a"), F.col("node").alias("b")))
+        sums = links.groupBy("cid").agg(F.sum("links").alias("links")), components(edges)
+        if at + _SUMMED < len(rounds):
+            sums = written(sums[0], "counts", clean=True), sums[1]
+            dropped(spark, folders)
+    return sums
+
+
+_LINKS = "cid long, root long, links long"
+#: Rounds after which their rows are summed up.
+_SUMMED = 4
+
+
+def _sent_schema(classes: DataFrame) -> T.StructType:
+    kinds = {"path": T.ArrayType(T.IntegerType()), "guest": T.BooleanType(), "dim": T.IntegerType(), "block": T.IntegerType(), "i": T.IntegerType(), "j": T.IntegerType()}
+    return T.StructType([T.StructField(c, kinds.get(c) or classes.schema[c].dataType) for c in _SENT])
+
+
+def _mark():
+    """Column: what a vector is found again by, if no two classes of a label have the same."""
+    return F.xxhash64("embedding")
 
 
 def vector_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, blocks: int = BLOCKS, lead: int = LEAD, tile: int = TILE) -> DataFrame:
@@ -285,35 +464,17 @@ def vector_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", odd) & F.exists("embedding", lambda v: v != 0)
     usable = F.coalesce(usable, F.lit(False))
+    seed, mark = F.xxhash64("label", F.size("embedding")), _mark()
     grouped = rows.filter(usable).groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
-    classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    kinds = {"label": T.StringType(), "dim": T.IntegerType(), "block": T.IntegerType(), "path": T.ArrayType(T.IntegerType()), "guest": T.BooleanType(), "gap": T.DoubleType(), "cid": T.LongType(), "embedding": classes.schema["embedding"].dataType, "n": T.LongType()}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in _DEALT])
-    dim = F.size("embedding")
-    whole = classes.select("label", dim.alias("dim"), F.explode(F.sequence(F.lit(0), F.least(F.lit(blocks), dim) - 1)).alias("block"), F.array().cast("array<int>").alias("path"), F.lit(False).alias("guest"), F.lit(0.0).alias("gap"), "cid", "embedding", "n")
-    dealt, found, out = whole.mapInArrow(_dealt(cosine, blocks, lead), schema), None, "cid long, root long, links long"
-    while True:
-        sizes = dealt.groupBy(_KEY).agg(F.count_if(~F.col("guest")).alias("own"), F.count(F.lit(1)).alias("rows"))
-        crowded = written(sizes.filter((F.col("own") > 0) & (F.greatest(F.col("own"), F.col("rows") - F.col("own")) > tile)), "cells")
-        none = crowded.isEmpty()
-        plain = dealt if none else dealt.join(crowded.select(*_KEY), _KEY, "left_anti")
-        here = plain.select(*_KEY, "guest", "cid", "embedding", "n", F.lit(0).alias("i"), F.lit(0).alias("j"))
-        if none:
-            found = [*(found or []), here]
-            break
-        more = written(dealt.join(crowded.select(*_KEY), _KEY, "left_semi"), "crowded")
-        used = F.size("path") >= F.floor(F.col("dim") / F.least(F.lit(blocks), F.col("dim")))  # coordinates of the smallest block
-        found = [*(found or []), here, _tiled(more.filter(used), crowded.filter(used), tile)]
-        dealt = more.filter(~used).mapInArrow(_dealt(cosine, blocks, lead), schema)
-    linked_ = [x.groupBy(*_KEY, "i", "j").applyInArrow(_linked(cosine, blocks), out) for x in found]
-    links = written(functools.reduce(DataFrame.unionByName, linked_), "linked")
-    counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    roots = components(links.select(F.col("root").alias("a"), F.col("cid").alias("b")))
-    rooted = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "label", "embedding", "n", "least", F.coalesce("root", "cid").alias("root"))
+    classes = written(grouped.select("*", seed.alias("seed"), mark.alias("mark"), F.monotonically_increasing_id().alias("cid")), "classes", clean=True)
+    counts, roots = _all_links(classes.select("label", "seed", "cid", "embedding", "n"), cosine, blocks, lead, tile)
+    alone = classes.groupBy("label", "mark").count().filter("count > 1").isEmpty()
+    key = ["label", "mark"] if alone else ["label", "mark", "embedding"]  # vectors are sent only if hashes don't tell all of them apart
+    rooted = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", *key, "n", "least", F.coalesce("root", "cid").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").join(counts, "cid", "left").select("label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    of = rooted.join(named, "root").join(counts, "cid", "left").select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     some, none = rows.filter(usable), rows.filter(~usable)
-    same = some.join(of, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    same = some.withColumn("mark", mark).select("vec_id", *key).join(of, key).select("vec_id", "n_links", "component_id")
     every = same.unionByName(none.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -1,11 +1,15 @@
 """Vectors, pages, conversations, and the stages of the pipeline."""
 
+import contextlib
 import hashlib
+import os
 import random
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftwell.llm import chats, pages, vectors
@@ -91,6 +95,70 @@ def test_few_pairs_are_compared(spark):
     assert share[1] < 0.05 and share[1] < share[0] * 1.1
 
 
+def near_copies(dim=12):
+    r = np.random.default_rng(dim)
+    centers = r.normal(size=(6, dim))
+    rows = [(centers[i % 6] + r.normal(size=dim) * (0.02 if i % 6 < 2 else 0.25)).astype(np.float32).tolist() for i in range(60)]
+    return [(i, v, i % 6 // 4) for i, v in enumerate([*rows, *rows[:5]])]
+
+
+@pytest.mark.parametrize(("tile", "summed", "collide"), [(4096, 4, False), (4, 3, False), (2, 1, True)])
+def test_rounds_give_what_one_gives(spark, monkeypatch, tile, summed, collide):
+    """Many rounds of few vectors, crowded cells and tiles among them; and classes whose hashes are all the same."""
+    monkeypatch.setattr(vectors, "SENT", 1)
+    monkeypatch.setattr(vectors, "SENT_LEAST", 1)
+    monkeypatch.setattr(vectors, "_SUMMED", summed)
+    if collide:
+        monkeypatch.setattr(vectors, "_mark", lambda: F.lit(1).cast("long"))
+    rows = near_copies()
+    got = vectors.vector_links(spark.createDataFrame(rows, SCHEMA), tile=tile, blocks=2).collect()
+    assert sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in got) == brute(rows)
+
+
+def test_tiles_hold_each_pair_of_a_cell_once():
+    r = np.random.default_rng(3)
+    guest = r.random(200) < 0.4
+    h = np.where(np.arange(200) < 150, 7, 9).astype(np.uint64)
+    place, g, i, j, _ = vectors._tiles(guest, h, np.arange(200), (np.array([7], np.uint64), np.array([4]), np.array([3])))
+    met: dict = {}
+    for tile in set(zip(h[place].tolist(), i.tolist(), j.tolist())):
+        at = [(int(p), bool(x)) for p, x, a, b, c in zip(place, g, h[place].tolist(), i.tolist(), j.tolist()) if (a, b, c) == tile]
+        for n, (p, x) in enumerate(at):
+            for q, y in at[n + 1 :]:
+                if x != y or (not x and tile[1] == tile[2]):
+                    met[min(p, q), max(p, q)] = met.get((min(p, q), max(p, q)), 0) + 1
+    assert met == {(p, q): 1 for p in range(200) for q in range(p + 1, 200) if h[p] == h[q] and not (guest[p] and guest[q])}
+
+
+def test_vectors_take_little_disk(spark, monkeypatch, tmp_path):
+    """Shuffle files and tables at any time, against the input."""
+    monkeypatch.setattr(vectors, "SENT_LEAST", 0, raising=False)
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    folders = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    over, peak = threading.Event(), [0]
+
+    def used():
+        total = 0
+        for d in folders:
+            for where, _, names in os.walk(d):
+                for x in names:
+                    with contextlib.suppress(OSError):  # it may go meanwhile
+                        total += os.stat(os.path.join(where, x)).st_size if x.endswith((".data", ".parquet")) else 0
+        return total
+
+    spark._jvm.System.gc()
+    before = used()
+    watch = threading.Thread(target=lambda: [peak.append(used()) for _ in iter(lambda: over.wait(0.02), True)])
+    watch.start()
+    try:
+        vectors.vector_links(spark.read.parquet(path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        over.set()
+        watch.join()
+    assert max(peak) - before < 4 * os.path.getsize(path)
+
+
 def test_no_vectors(spark):
     assert vectors.vector_links(spark.createDataFrame([], SCHEMA)).count() == 0
 

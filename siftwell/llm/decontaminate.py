@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_bytes, utf8, written
+from .shared import freeing, text_bytes, utf8, written
 from .wordhash import grams, hashes, mix, spans
 
 WINDOW = 10
@@ -70,7 +70,7 @@ def _frequencies(docs: DataFrame, text_col: str, wanted) -> dict:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([b" ".join(k) for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["k", "n"])
 
-    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(f, "k binary, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(f), "k binary, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     return {tuple(bytes(r.k).split(b" ")): r.n for r in rows}
 
 
@@ -170,7 +170,7 @@ def _by_index(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, win
             hit = [sum(x[1::2]) - sum(x[::2]) for x in places]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hit, pa.int64()), pa.array(found, pa.list_(pa.string()))], [*b.schema.names, *_RESULT])
 
-    return docs.mapInArrow(f, schema)
+    return docs.mapInArrow(freeing(f), schema)
 
 
 class _Text:

@@ -20,7 +20,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import utf8, written
+from .shared import freeing, utf8, written
 
 BITS = 15
 ORDERS = (1, 2, 3, 4)
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             packed = [np.packbits(sets(b.column(0), i, i + 1) > 0).tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(packed, pa.binary())], ["lang", "h", "bits"])
 
-    got = written(chosen.select("text", "lang", "h").mapInArrow(f, "lang string, h long, bits binary").distinct(), "bits")
+    got = written(chosen.select("text", "lang", "h").mapInArrow(freeing(f), "lang string, h long, bits binary").distinct(), "bits")
     langs = [r.lang for r in got.select("lang").distinct().collect()]
     if not langs:
         return None
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores)], [*b.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(f, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(freeing(f), schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

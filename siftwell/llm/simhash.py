@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import bottom, written
+from .shared import bottom, freeing, release, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64), pa.int64()), *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *also)
-    return rows.mapInArrow(f, "doc_id long, fp long" + ", row long" * row_hash)
+    return rows.mapInArrow(freeing(f), "doc_id long, fp long" + ", row long" * row_hash)
 
 
 def _row_hash(docs: DataFrame):
@@ -97,6 +97,7 @@ def _meetings(prefix: int, radius: int):
     masks = {u: np.array([m for m, _ in _masks(prefix, BITS, radius - u)], np.int64).view(np.uint64) for u in range(radius + 1)}
 
     def f(table: pa.Table) -> pa.Table:
+        release()
         fp, z, used = (table[c].to_numpy() for c in ("fp", "z", "used"))
         nodes, at = np.unique(fp, return_inverse=True)
         keys, owner = [], []

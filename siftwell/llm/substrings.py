@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import parts_for, text_bytes, utf8
+from .shared import parts_for, release, text_bytes, utf8
 from .wordhash import grams, hashes, mix, pack, pack_sorted, sliding, spans, unpack, unpack_sorted
 
 WINDOW = 13
@@ -113,6 +113,7 @@ def _bit_rows(*marks: np.ndarray) -> bytes:
 
 def _anchors_of(window: int, seed: int, bits: int):
     def f(table: pa.Table) -> pa.Table:
+        release()
         b = _block(table, window, seed)
         first = _runs(b)[:-1]
         keys, n, many = _distinct(b.anchor[first], b.ids[b.doc[b.at[first]]])
@@ -138,6 +139,7 @@ def _replies(table: pa.Table, round_: int, bits: list[bytes]) -> pa.Table:
 def _shared_anchors(crowd: int):
     def f(table: pa.Table) -> pa.Table:
         """Which anchors several documents have, and which of them very many places have."""
+        release()
         keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
         seen = np.concatenate([np.frombuffer(x, np.uint8) for x in table["extra"].to_pylist()])
         order, first, counts = _gathered(keys)
@@ -215,6 +217,7 @@ def _stretches(b: _Block, replies: pa.Table, window: int, bits: int) -> _Stretch
 
 def _stretches_of(window: int, seed: int, bits: int):
     def f(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         if not docs.num_rows:
             return _SENT_ARROW.empty_table()
         b = _block(docs, window, seed)
@@ -239,6 +242,7 @@ def _extended(same: dict[bytes, int], window: int) -> dict[bytes, int]:
 def _earlier(window: int):
     def f(table: pa.Table) -> pa.Table:
         """For each window of each stretch, whether another block has its words in a document of a smaller id."""
+        release()
         keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
         own = np.concatenate([unpack(x, np.int64) for x in table["extra"].to_pylist()])
         texts = [t for x in table["words"].to_pylist() for t in zstandard.decompress(x).split(b"\n")]
@@ -289,6 +293,7 @@ def _removed(b: _Block, replies: pa.Table, window: int, bits: int) -> np.ndarray
 
 def _cleaned(window: int, seed: int, bits: int, out: pa.Schema):
     def f(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        release()
         if not docs.num_rows:
             return out.empty_table()
         b = _block(docs, window, seed)

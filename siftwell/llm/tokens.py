@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import utf8
+from .shared import freeing, release, utf8
 
 LIMIT = 512
 #: Pieces that a worker remembers besides the vocabulary, about 170 bytes each as measured.
@@ -146,14 +146,12 @@ class Encoder:
     def _forget(self) -> None:
         if len(self.places) > self.remembered + self.single:
             keep = self.single + self.remembered // 4
-            places = _Places()
-            for piece, place in self.places.items():
-                if place >= keep:
-                    break
-                dict.__setitem__(places, piece, place)
-            self.places, self.filled = places, keep
-            self.frequent, self.seen = _Frequent(places), 0
+            while len(self.places) > keep:  # in place, the newest first: a copy would need both at once
+                self.places.popitem()
+            self.filled = keep
+            self.frequent, self.seen = _Frequent(self.places), 0
             self.used = int(self.offset[keep - 1] + self.length[keep - 1])
+            release(0)
 
     def _places_of(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list]:
         """Places of each text's pieces, or None and the whole text's ids from the library."""
@@ -248,7 +246,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = np.concatenate([np.zeros(0, np.int64), *(count(b.column(1)[i:j].to_pylist()) for i, j in groups(b.column(1)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(f, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(f), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators on documents: against brute force, and on null, empty, long, repeated and clashing rows."""
 
+import ctypes
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -312,6 +314,29 @@ def test_ids_are_the_library_s(name):
     assert enc.encode([None, ""])[0].tolist() == []
 
 
+def test_workers_keep_no_memory_that_they_freed(spark):
+    """After packing, what the allocators of a worker could give back: the next stages' needs come on top of it."""
+    r = F.sha2(F.concat_ws(" ", "id", F.lit("x")), 256)
+    text = F.concat_ws(" ", *[F.substring(r, i, 6) for i in range(1, 60)])
+    rows = spark.range(30_000, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    packing.pack(rows, public_tokenizers.path(JSONS[0])).write.format("noop").mode("overwrite").save()
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(n) for n in re.findall(r"\nPss_Anon:\s+(\d+)", f.read())) / 1024
+
+    def probe(batches):
+        for b in batches:
+            held = anonymous()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+            time.sleep(1)  # each worker gets a part
+            yield pa.RecordBatch.from_arrays([pa.array([held - anonymous()])], ["mb"])
+
+    kept = [x.mb for x in spark.range(8, numPartitions=8).mapInArrow(probe, "mb double").collect()]
+    assert max(kept) < 30
+
+
 def test_counts_by_either_library(spark):
     import sentencepiece
 

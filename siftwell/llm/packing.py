@@ -127,7 +127,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, id_c
         yield rows(packer.close())
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(f), schema)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(f, keep=True), schema)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import freeing, release, utf8
+from .shared import freeing, kept, release, utf8
 
 LIMIT = 512
 #: Pieces that a worker remembers besides the vocabulary, about 170 bytes each as measured.
@@ -151,7 +151,7 @@ class Encoder:
             self.filled = keep
             self.frequent, self.seen = _Frequent(self.places), 0
             self.used = int(self.offset[keep - 1] + self.length[keep - 1])
-            release(0)
+            release(0, keep=True)
 
     def _places_of(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list]:
         """Places of each text's pieces, or None and the whole text's ids from the library."""
@@ -206,14 +206,11 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary file and worker, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder for each vocabulary file and worker, kept from task to task until a stage of another kind begins."""
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def groups(texts: pa.Array, most: int = 4 << 20):
@@ -246,7 +243,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = np.concatenate([np.zeros(0, np.int64), *(count(b.column(1)[i:j].to_pylist()) for i, j in groups(b.column(1)))])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(f), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(freeing(f, keep=True), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siftwell.llm import decontaminate, language, packing, simhash, substrings, tokens, wavelet
+from siftwell.llm import decontaminate, language, packing, shared, simhash, substrings, tokens, wavelet
 from siftwell.llm.components import components
 from siftwell.llm.wordhash import grams, hashes, sliding, spans
 
@@ -337,6 +337,16 @@ def test_workers_keep_no_memory_that_they_freed(spark):
     assert max(kept) < 30
 
 
+def test_other_stages_drop_the_encoder():
+    encode = lambda batches: (tokens.encoder(public_tokenizers.path(JSONS[0])).count(b) for b in batches)
+    assert list(shared.freeing(encode, keep=True)([["a b"]]))[0].tolist() == [2]
+    first = tokens.encoder(public_tokenizers.path(JSONS[0]))
+    list(shared.freeing(encode, keep=True)([["a b"]]))
+    assert tokens.encoder(public_tokenizers.path(JSONS[0])) is first
+    list(shared.freeing(lambda batches: batches)([1]))
+    assert not shared.kept
+
+
 def test_counts_by_either_library(spark):
     import sentencepiece
 
